@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimdex.session import spread
+
 #: query vector of the single-query searches, a fixed parameter
 QUERY = [((37 * i + 11) % 64 - 31.5) / 32 for i in range(64)]
 QUERY_TEXT = "the retention of entire heard than other thing"
@@ -124,9 +126,9 @@ def mixed_files(spark: SparkSession, sf: str) -> DataFrame:
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as chunked text files, one turn per chunk."""
     return table(spark, sf, "conversations").selectExpr(
-        "concat('f', conv_id) AS file_path",
+        "concat('f', conv_id + 50) AS file_path",
         "cast(turn AS int) AS chunk_index",
-        "concat('f', conv_id, '__chunk_', turn) AS id",
+        "concat('f', conv_id + 50, '__chunk_', turn) AS id",
         "text AS chunk_text",
         "array(cast(length(text) AS float), cast(turn AS float)) AS vector",
         "role",
@@ -158,7 +160,7 @@ def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
 def write_text_tree(spark: SparkSession, sf: str, root: str) -> str:
     """One folder and ``.txt`` file per document, its text followed by a line break."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("value"))
-    docs.write.mode("overwrite").partitionBy("doc_id").text(root)
+    spread(docs).write.mode("overwrite").partitionBy("doc_id").text(root)
     return root
 
 

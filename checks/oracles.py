@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.inputs import EXTENSIONS, INDEXED_AT, QUERY, QUERY_TEXT
 from skimdex.functions.embed import HashingEmbedder
-from skimdex.functions.text import WORD_PATTERN
+from skimdex.functions.text import DELIMITER_PATTERN, WORD_PATTERN
 
 
 def _quote(text: str) -> str:
@@ -25,7 +25,7 @@ V = """v AS (SELECT 'v' || vec_id AS id, 'f' || (vec_id // 5) AS file_path,
   CAST(vec_id % 5 AS INT) AS chunk_index, embedding AS vector, label, vec_id FROM embeddings)"""
 Q = f"q AS (SELECT {[float(x) for x in QUERY]}::DOUBLE[] AS qv)"
 SCORED = """s AS (SELECT id, file_path, chunk_index, label, vec_id,
-  round(list_cosine_similarity(vector::DOUBLE[], qv), 12) AS c FROM v, q)"""
+  list_cosine_similarity(vector::DOUBLE[], qv) AS c FROM v, q)"""
 SCORE = "round(least(greatest(c, 0), 1), 6)"
 
 CUR = """cur AS (SELECT source || '/' || doc_id || '.txt' AS file_path, n_chars AS file_size,
@@ -54,8 +54,8 @@ FILE_TYPE = f"CASE WHEN {IS_IMAGE} THEN 'image' WHEN {IS_TEXT} THEN 'text' END"
 MIME = """CASE WHEN ext IN ('', 'jpg', 'jpeg') THEN 'image/jpeg'
   WHEN ext IN ('heic', 'heif') THEN 'image/heic' ELSE 'image/' || ext END"""
 NEEDS = "(ext NOT IN ('jpg','jpeg','png','webp','bmp','tiff','ico') OR file_size > 4194304)"
-TURNS = """t AS (SELECT 'f' || conv_id AS file_path, CAST(turn AS INT) AS chunk_index,
-  'f' || conv_id || '__chunk_' || turn AS id, text AS chunk_text,
+TURNS = """t AS (SELECT 'f' || (conv_id + 50) AS file_path, CAST(turn AS INT) AS chunk_index,
+  'f' || (conv_id + 50) || '__chunk_' || turn AS id, text AS chunk_text,
   CAST(length(text) AS DOUBLE) AS first FROM conversations)"""
 TURN_FILES = """tf AS (SELECT file_path, CAST(sum(length(chunk_text)) AS BIGINT) AS file_size,
   CAST(max(chunk_index) AS BIGINT) AS modified_at, sha256(file_path) AS file_hash,
@@ -138,8 +138,16 @@ em AS (SELECT {pre('nm')}, d.dim, CAST(coalesce(bk.n, 0) / nm.norm AS FLOAT) AS
   LEFT JOIN bk ON {on('bk', 'nm')} AND bk.dim = d.dim WHERE nm.norm > 0)"""
 
 
-CHARS = "list_transform(string_split({0}, ''), lambda ch: unicode(ch))"
-BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::INT)"
+
+
+def chars(column: str) -> str:
+    packed = f"regexp_replace({column}, {_quote(DELIMITER_PATTERN)}, '', 'g')"
+    return f"list_transform(string_split({packed}, ''), lambda ch: unicode(ch))"
+
+
+def octets(column: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({column})), '..'), lambda b: ('0x' || b)::INT)"
+
 
 CENTROIDS = """pd AS (SELECT label AS cell, pos, avg(x::DOUBLE) AS m FROM (
   SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
@@ -147,13 +155,13 @@ cen AS (SELECT cell, list(m ORDER BY pos) AS cv FROM pd GROUP BY cell)"""
 CELLS = """cl AS (SELECT id, cell FROM (SELECT id, cell, row_number() OVER (PARTITION BY id
   ORDER BY round(list_cosine_similarity(vector::DOUBLE[], cv), 12) DESC, cell) AS r FROM v, cen) WHERE r = 1)"""
 PAIRS = """pr AS (SELECT a.id AS query_id, b.id, b.file_path,
-  round(list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]), 12) AS c FROM v a, v b WHERE a.id <> b.id)"""
-EXACT = """ex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank
+  list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS c FROM v a, v b WHERE a.id <> b.id)"""
+EXACT = """ex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS INT) AS rank
   FROM pr) WHERE rank <= 10)"""
 PROBED = """pb AS (SELECT query_id, cell FROM (SELECT id AS query_id, cell, row_number() OVER (PARTITION BY id
   ORDER BY round(list_cosine_similarity(vector::DOUBLE[], cv), 12) DESC, cell) AS r FROM v, cen) WHERE r <= 3)"""
 NEAR = """nr AS (SELECT * FROM (SELECT pr.query_id, pr.id, c,
-  CAST(row_number() OVER (PARTITION BY pr.query_id ORDER BY c DESC, pr.id) AS INT) AS rank
+  CAST(row_number() OVER (PARTITION BY pr.query_id ORDER BY round(c, 12) DESC, pr.id) AS INT) AS rank
   FROM pr JOIN cl ON cl.id = pr.id JOIN pb ON pb.query_id = pr.query_id AND pb.cell = cl.cell) WHERE rank <= 10)"""
 DIFF = """df AS (SELECT file_path, CASE WHEN m.file_hash IS NULL THEN 'new' WHEN c.file_hash IS NULL THEN 'deleted'
   WHEN c.file_hash <> m.file_hash THEN 'modified' ELSE 'unchanged' END AS change_type,
@@ -167,8 +175,8 @@ FROM cur c LEFT JOIN ck k USING (file_path)"""
 BAND = "CASE WHEN {0} >= 0.8 THEN 'high' WHEN {0} >= 0.6 THEN 'medium' ELSE 'low' END"
 LISTED = """file_path ILIKE '%ick/1%' AND indexed_at >= TIMESTAMP '2024-01-05'
   AND indexed_at <= TIMESTAMP '2024-01-25'"""
-PAGE = """ranked AS (SELECT *, row_number() OVER (ORDER BY c DESC, id) AS rn FROM s),
-page AS (SELECT *, count(*) OVER () AS raw, row_number() OVER (PARTITION BY file_path ORDER BY c DESC, id) AS fr
+PAGE = """ranked AS (SELECT *, row_number() OVER (ORDER BY round(c, 12) DESC, id) AS rn FROM s),
+page AS (SELECT *, count(*) OVER () AS raw, row_number() OVER (PARTITION BY file_path ORDER BY round(c, 12) DESC, id) AS fr
   FROM ranked WHERE rn > {0} AND rn <= {0} + {1})"""
 
 
@@ -176,8 +184,8 @@ def oracle_sql() -> dict[str, str]:
     """Key of ``queries()`` to SQL."""
     fw, fh = fit(1024)
     first = "round(vector[1]::DOUBLE, 6) AS first"
-    vrows = "SELECT id, file_path, chunk_index, 'text' AS file_type, len(vector) AS dim"
-    merged = f"""SELECT id, file_path, chunk_index, len(vector) AS dim, {first} FROM v
+    vrows = "SELECT id, file_path, chunk_index, 'text' AS file_type, CAST(len(vector) AS INT) AS dim"
+    merged = f"""SELECT id, file_path, chunk_index, CAST(len(vector) AS INT) AS dim, {first} FROM v
   WHERE file_path NOT IN (SELECT file_path FROM t)
   UNION ALL SELECT id, file_path, chunk_index, 2, first FROM t"""
     return {
@@ -193,13 +201,13 @@ def oracle_sql() -> dict[str, str]:
         "scan_meta": _with(META) + f"SELECT file_path, file_hash, {ms('indexed_at')} FROM meta",
         "upsert_vectors": _with(V, TURNS) + merged,
         "upsert_vectors_by_id": _with(V)
-        + f"""SELECT id, file_path, chunk_index, len(vector) AS dim, {first} FROM v
+        + f"""SELECT id, file_path, chunk_index, CAST(len(vector) AS INT) AS dim, {first} FROM v
   WHERE vec_id NOT IN (SELECT doc_id FROM labels)
   UNION ALL SELECT 'v' || doc_id, 'l' || doc_id, 0, 2, quality FROM labels""",
         "latest": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (
   PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""",
         "fit_vector_dim": _with(V)
-        + """SELECT id, 96 AS wide_dim, round(list_sum(vector::DOUBLE[]), 6) AS wide_sum, 0.0 AS wide_last,
+        + """SELECT id, 96 AS wide_dim, round(list_sum(vector::DOUBLE[]), 6) AS wide_sum, 0.0::DOUBLE AS wide_last,
   48 AS cut_dim, round(list_sum(vector[1:48]::DOUBLE[]), 6) AS cut_sum,
   round(vector[48]::DOUBLE, 6) AS cut_last FROM v""",
         "upsert_meta": _with(META, CUR, LABELLED)
@@ -229,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
   'Represent the user''s input.' AS instruction, text AS body, 'assistant' AS last_role, 64 AS dimensions
   FROM conversations
   UNION ALL SELECT conv_id, turn, 'contents', 'embedder', NULL, text, NULL, NULL FROM conversations""",
-        "parse_embedding_responses": """SELECT vec_id, CASE WHEN label < 7 THEN len(embedding) END AS dim,
+        "parse_embedding_responses": """SELECT vec_id, CASE WHEN label < 7 THEN CAST(len(embedding) AS INT) END AS dim,
   label < 7 AS same, label >= 7 AS failed, CASE WHEN label < 7 THEN round(embedding[1]::DOUBLE, 6) END AS first
   FROM embeddings""",
         "file_catalog": _with(F)
@@ -288,7 +296,7 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
         "count_vectors": "SELECT count(*) AS n_vectors FROM embeddings",
         "best_per_file": _with(V, Q, SCORED)
         + f"""SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT *, row_number() OVER (
-  PARTITION BY file_path ORDER BY c DESC, id) AS r FROM s) WHERE r = 1""",
+  PARTITION BY file_path ORDER BY round(c, 12) DESC, id) AS r FROM s) WHERE r = 1""",
         "indexed_files_report": _with(TURNS, TURN_FILES)
         + """SELECT file_path, t.chunk_index, tf.file_size, tf.modified_at, tf.file_hash
   FROM t JOIN tf USING (file_path)""",
@@ -299,13 +307,13 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
   SELECT CAST(user_id AS VARCHAR) AS job_id, event_type AS phase, max(CAST(trunc(value) AS INT)) AS current,
     max(CASE WHEN event_type = 'view' THEN 0 ELSE 250 END) AS total FROM events GROUP BY ALL)""",
         "search_topk": _with(V, Q, SCORED)
-        + f"SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT * FROM s ORDER BY c DESC, id LIMIT 50)",
+        + f"SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT * FROM s ORDER BY round(c, 12) DESC, id LIMIT 50)",
         "search_page": _with(V, Q, SCORED, PAGE.format(10, 50))
         + f"""SELECT id, file_path, chunk_index, {SCORE} AS score, raw >= 50 AS has_more,
   CAST(count(*) OVER () AS INT) AS total, 10 AS "offset" FROM page WHERE fr = 1""",
         "search_files": _with(V, Q, SCORED)
         + f"""SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT * FROM (SELECT *, row_number() OVER (
-  PARTITION BY file_path ORDER BY c DESC, id) AS r FROM s) WHERE r = 1 ORDER BY c DESC, id LIMIT 20 OFFSET 10)""",
+  PARTITION BY file_path ORDER BY round(c, 12) DESC, id) AS r FROM s) WHERE r = 1 ORDER BY round(c, 12) DESC, id LIMIT 20 OFFSET 10)""",
         "format_results": _with(V, Q, SCORED, PAGE.format(0, 50))
         + f"""SELECT id, chunk_index, raw >= 50 AS has_more, CAST(count(*) OVER () AS INT) AS total, file_path,
   file_path || '.txt' AS file_name, 'text' AS file_type, CAST(label * 1000 AS BIGINT) AS file_size,
@@ -317,7 +325,7 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
         "search_ann": _with(V, Q, SCORED, CENTROIDS, CELLS)
         + f"""SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT s.* FROM s JOIN cl USING (id)
   WHERE cell IN (SELECT cell FROM cen, q ORDER BY round(list_cosine_similarity(cv, qv), 12) DESC, cell LIMIT 3)
-  ORDER BY c DESC, id LIMIT 50)""",
+  ORDER BY round(c, 12) DESC, id LIMIT 50)""",
         "knn_ann": _with(V, CENTROIDS, CELLS, PAIRS, PROBED, NEAR)
         + f"SELECT query_id, rank, id, {SCORE} AS score FROM nr",
         "ann_recall": _with(V, CENTROIDS, CELLS, PAIRS, EXACT, PROBED, NEAR)
@@ -329,7 +337,7 @@ b AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM e GROUP BY pos)
 SELECT id, string_agg(printf('%02X', CAST(floor((x - lo) * 255.0::DOUBLE / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + 0.5) AS INT)),
   '' ORDER BY pos) AS code FROM e JOIN b USING (pos) GROUP BY id""",
         "tokenize_words": _with(TEXTS)
-        + f"""SELECT id, len(ws) AS n_words, array_to_string(ws, ' ') AS words FROM (
+        + f"""SELECT id, CAST(len(ws) AS INT) AS n_words, array_to_string(ws, ' ') AS words FROM (
   SELECT id, {WORDS} AS ws FROM x)""",
         "estimate_tokens": _with(TEXTS)
         + f"""SELECT id, round(coalesce(list_sum(list_transform(ws, lambda w: {UNITS})), 0) / 30.0::DOUBLE, 6) AS tokens
@@ -338,9 +346,9 @@ SELECT id, string_agg(printf('%02X', CAST(floor((x - lo) * 255.0::DOUBLE / CASE
         + "SELECT doc_id, chunk_index, total_chunks, chunk_text FROM ck",
         "chunk_documents_spaced": _with(chunks("conversations", "conv_id turn", 40, 8, " "))
         + "SELECT conv_id, turn, chunk_index, total_chunks, chunk_text FROM ck",
-        "embed_texts": _with(embedding("documents", "doc_id", CHARS.format("text")))
+        "embed_texts": _with(embedding("documents", "doc_id", chars("text")))
         + "SELECT doc_id, dim, round(x::DOUBLE, 5) AS x FROM em",
-        "embed_images": _with(F, f"fi AS (SELECT * FROM f WHERE {IS_IMAGE})", embedding("fi", "doc_id", BYTES.format("text")))
+        "embed_images": _with(F, f"fi AS (SELECT * FROM f WHERE {IS_IMAGE})", embedding("fi", "doc_id", octets("text")))
         + "SELECT doc_id, dim, round(x::DOUBLE, 5) AS x FROM em",
         "text_index_rows": _with(TURNS, TURN_FILES)
         + """SELECT t.id, file_path AS path, 2 AS dim, file_path AS file_name, 'text' AS file_type,
@@ -359,10 +367,10 @@ SELECT id, string_agg(printf('%02X', CAST(floor((x - lo) * 255.0::DOUBLE / CASE
             chunks("cur", "file_path"),
             "tx AS (SELECT file_path, chunk_index, chunk_text AS body FROM ck "
             f"UNION ALL SELECT '', -1, {_quote(QUERY_TEXT)})",
-            embedding("tx", "file_path chunk_index", CHARS.format("body")),
+            embedding("tx", "file_path chunk_index", chars("body")),
             "vec AS (SELECT file_path, chunk_index, list(x::DOUBLE ORDER BY dim) AS vector FROM em GROUP BY ALL)",
             """s AS (SELECT a.file_path || '__chunk_' || a.chunk_index AS id, a.file_path,
-  round(list_cosine_similarity(a.vector, b.vector), 12) AS c, chunk_text
+  list_cosine_similarity(a.vector, b.vector) AS c, chunk_text
   FROM vec a JOIN vec b ON b.chunk_index = -1 JOIN ck ON ck.file_path = a.file_path AND ck.chunk_index = a.chunk_index)""",
             PAGE.format(5, 40),
         )
@@ -374,6 +382,6 @@ SELECT id, string_agg(printf('%02X', CAST(floor((x - lo) * 255.0::DOUBLE / CASE
         "incremental_index_summary": _with(CUR, META, DIFF)
         + """SELECT count(*) FILTER (change_type <> 'deleted') AS total, count(*) FILTER (change_type = 'new') AS new_count,
   count(*) FILTER (change_type = 'modified') AS modified_count,
-  count(*) FILTER (change_type = 'deleted') AS deleted_count, 0 AS error_count FROM df""",
+  count(*) FILTER (change_type = 'deleted') AS deleted_count, CAST(0 AS BIGINT) AS error_count FROM df""",
         "incremental_index_stream": FINAL,
     }

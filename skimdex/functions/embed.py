@@ -6,6 +6,7 @@ tasks, so a model client belongs into a lazily created attribute. ``None`` marks
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skimdex.functions.text import DELIMITER_PATTERN
+
 EMBEDDING = T.StructType(
     [
         T.StructField("vector", T.ArrayType(T.FloatType())),
@@ -32,8 +35,9 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Offline default: signed hashing of trigrams over characters (text) or bytes (images).
 
-    It needs no model and no word separators, so joined chunk text and any script work. Equal input
-    gives equal vectors; inputs sharing many trigrams are close.
+    Texts are hashed without white space and punctuation, so a chunk of joined words and the same
+    words in a query agree, in any script. Equal input gives equal vectors; inputs sharing many
+    trigrams are close.
     """
 
     MULTIPLIER = 2654435761  # odd constant near 2**32 / golden ratio
@@ -45,7 +49,8 @@ class HashingEmbedder:
     def counts(self, value: str | bytes) -> np.ndarray:
         """Signed trigram counts per bucket."""
         if isinstance(value, str):
-            codes = np.frombuffer(f" {value} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            packed = re.sub(DELIMITER_PATTERN, "", value)
+            codes = np.frombuffer(f" {packed} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
         else:
             codes = np.frombuffer(b" " + bytes(value) + b" ", dtype=np.uint8)
         codes = codes.astype(np.int64)

@@ -17,11 +17,12 @@ CJK_UNITS = 20
 BYTE_UNITS = 9
 # --- end of fixed values ---
 
+_MARKS = PUNCTUATION.replace("[", r"\[").replace("]", r"\]")
+
 #: One ideograph, or a run of anything that is neither ideograph nor delimiter. Characters stand
-#: literally in the class, so Java, Python and RE2 read the same pattern.
-WORD_PATTERN = "[{cjk}]|[^{cjk}{spaces}{marks}]+".format(
-    cjk=CJK, spaces=SPACES, marks=PUNCTUATION.replace("[", r"\[").replace("]", r"\]")
-)
+#: literally in the classes, so Java, Python and RE2 read the same pattern.
+WORD_PATTERN = f"[{CJK}]|[^{CJK}{SPACES}{_MARKS}]+"
+DELIMITER_PATTERN = f"[{SPACES}{_MARKS}]+"
 
 
 def tokenize_words(text: Column) -> Column:

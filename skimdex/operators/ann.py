@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.vectors import cosine_similarity, dot
-from skimdex.operators.knn import BROADCAST_BYTES, _named, _ranked, small_matrix
+from skimdex.operators.knn import BROADCAST_BYTES, _named, _ranked, fewer_tasks, small_matrix
 from skimdex.operators.scoring import COSINE_DECIMALS, partition_topk, unit_rows
 from skimdex.operators.search import search_topk
 
@@ -103,11 +103,18 @@ def probe_cells(centroids: DataFrame, query: list[float], nprobe: int) -> list[i
     return cells[np.lexsort((cells, -np.nan_to_num(cosines, nan=-2.0)))[:nprobe]].tolist()
 
 
+def probed(
+    indexed: DataFrame, centroids: DataFrame, query: list[float], nprobe: int
+) -> DataFrame:
+    """The rows of the ``nprobe`` nearest cells; other cells are pruned from the scan."""
+    return indexed.where(F.col("cell").isin(probe_cells(centroids, query, nprobe)))
+
+
 def search_ann(
     indexed: DataFrame, centroids: DataFrame, query: list[float], k: int, nprobe: int
 ) -> DataFrame:
-    """Exact top-k inside the ``nprobe`` nearest cells; other cells are pruned from the scan."""
-    return search_topk(indexed.where(F.col("cell").isin(probe_cells(centroids, query, nprobe))), query, k)
+    """Exact top-k inside the ``nprobe`` nearest cells."""
+    return search_topk(probed(indexed, centroids, query, nprobe), query, k)
 
 
 def knn_ann(
@@ -162,7 +169,7 @@ def _probe_block(indexed, small, centroids, k, nprobe, exclude_same_id) -> DataF
                 ["query_id", *found.schema.names[1:]],
             )
 
-    return source.mapInArrow(run, _named(source))
+    return fewer_tasks(source).mapInArrow(run, _named(source))
 
 
 def dimension_ranges(vectors: DataFrame) -> DataFrame:

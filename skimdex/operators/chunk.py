@@ -63,11 +63,13 @@ def chunk_documents(
     overlap: int = CHUNK_OVERLAP,
     sep: str = "",
     text: str = "text",
+    keep_unread: bool = False,
 ) -> DataFrame:
     """One row per chunk: the input columns without the text, chunk_index, total_chunks, chunk_text.
 
     Words of a chunk are joined with ``sep``. Documents are independent, so this needs no shuffle;
-    a document without words yields no row.
+    a document without words yields no row. With ``keep_unread`` a null text yields one row with
+    null chunk columns, so that its error is not lost.
     """
     keep = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in keep]
@@ -87,6 +89,9 @@ def chunk_documents(
         for batch in batches:
             texts = batch.pop(text)
             for key, body in zip(batch[names].itertuples(index=False, name=None), texts):
+                if body is None and keep_unread:
+                    out.append((*key, None, None, None))
+                    continue
                 words = pattern.findall(body) if body else []
                 if not words:
                     continue

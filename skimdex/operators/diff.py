@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,21 +37,20 @@ def incremental_files(diff: DataFrame) -> DataFrame:
 
 def index_summary(diff: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """One row: total scanned, new, modified, deleted and failed files."""
+    kinds = diff.select("change_type")
+    if errors is not None:
+        kinds = kinds.unionByName(errors.select(F.lit("error").alias("change_type")))
 
-    def n(kind: str):
-        return F.count_if(F.col("change_type") == kind)
+    def n(*names: str) -> Column:
+        return F.count_if(F.col("change_type").isin(*names))
 
-    counts = diff.agg(
-        F.count_if(F.col("change_type") != "deleted").alias("total"),
+    return kinds.agg(
+        n("new", "modified", "unchanged").alias("total"),
         n("new").alias("new_count"),
         n("modified").alias("modified_count"),
         n("deleted").alias("deleted_count"),
+        n("error").alias("error_count"),
     )
-    if errors is None:
-        return counts.withColumn("error_count", F.lit(0).cast("long"))
-    failed = errors.agg(F.count(F.lit(1)).alias("error_count"))
-    # both sides are single rows
-    return counts.withColumn("_one", F.lit(1)).join(failed.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def progress_by_phase(job_events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.vectors import distance_to_score
-from skimdex.operators.scoring import partition_topk, payload_schema
+from skimdex.operators.scoring import COSINE_DECIMALS, partition_topk, payload_schema
 
 #: query matrices up to this size travel to every executor; larger ones take the grid
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -39,7 +39,8 @@ def small_matrix(
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("_cos"), "id")
+    nearness = F.round("_cos", COSINE_DECIMALS)
+    best_first = Window.partitionBy("query_id").orderBy(nearness.desc(), "id")
     return (
         found.withColumn("rank", F.row_number().over(best_first))
         .where(F.col("rank") <= k)
@@ -79,7 +80,14 @@ def knn_join(
                 ["query_id", *out.schema.names[1:]],
             )
 
-    return _ranked(source.mapInArrow(run, _named(source)), k)
+    return _ranked(fewer_tasks(source).mapInArrow(run, _named(source)), k)
+
+
+def fewer_tasks(source: DataFrame) -> DataFrame:
+    """Let a task walk through several splits: every task sends ``k`` rows per query to the shuffle,
+    so their number should follow the cores and not the size of the table."""
+    most = 4 * source.sparkSession.sparkContext.defaultParallelism
+    return source.coalesce(most) if source.rdd.getNumPartitions() > most else source
 
 
 def _named(source: DataFrame) -> T.StructType:

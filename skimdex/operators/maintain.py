@@ -79,11 +79,11 @@ def delete_by_paths(table: DataFrame, paths: DataFrame) -> DataFrame:
 
 def delete_summary(table: DataFrame, paths: DataFrame) -> DataFrame:
     """``deleted`` counts the requested paths, ``matched`` the rows they remove."""
-    asked = paths.agg(F.count("file_path").alias("deleted"))
     hit = table.join(paths.select("file_path").distinct(), "file_path", "left_semi")
-    matched = hit.agg(F.count(F.lit(1)).alias("matched"))
-    # both sides are single rows
-    return asked.withColumn("_one", F.lit(1)).join(matched.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    asked = paths.select(F.lit(1).alias("deleted"), F.lit(0).alias("matched"))
+    found = hit.select(F.lit(0).alias("deleted"), F.lit(1).alias("matched"))
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("deleted", "matched")]
+    return asked.unionByName(found).agg(*counts)
 
 
 def prune_versions(

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 #: upper bound on one score block (rows x queries) held by a task
 BLOCK_CELLS = 4_000_000
-#: cosines are compared at this many decimals: equal vectors tie wherever their row happens to sit
+#: cosines rank at this many decimals: equal vectors tie wherever their row happens to sit
 COSINE_DECIMALS = 12
 
 
@@ -50,23 +50,25 @@ class TopK:
 
     def offer(self, cosines: np.ndarray, queries: np.ndarray, payload: pa.RecordBatch) -> None:
         """Merge a block: ``cosines[i, j]`` is row ``i`` of ``payload`` against ``queries[j]``."""
+        ranks = np.round(cosines, COSINE_DECIMALS)
         floor = self.floor[queries]
-        if len(cosines) > self.k and not np.isfinite(floor).all():
-            filled = np.where(np.isnan(cosines), -np.inf, cosines)
+        if len(ranks) > self.k and not np.isfinite(floor).all():
+            filled = np.where(np.isnan(ranks), -np.inf, ranks)
             kth = np.partition(filled, len(filled) - self.k, axis=0)[len(filled) - self.k]
             floor = np.maximum(floor, kth)
         # ties with the k-th best stay in until the id decides
-        rows, cols = np.nonzero((cosines >= floor) & (cosines > -np.inf))
+        rows, cols = np.nonzero((ranks >= floor) & (ranks > -np.inf))
         if not len(rows):
             return
         found = pa.Table.from_batches([payload]).take(pa.array(rows))
         found = found.add_column(0, "_q", pa.array(queries[cols].astype(np.int32)))
         found = found.append_column("_cos", pa.array(cosines[rows, cols]))
+        found = found.append_column("_key", pa.array(ranks[rows, cols]))
         self.best = self._cut(found if self.best is None else pa.concat_tables([self.best, found]))
 
     def _cut(self, table: pa.Table) -> pa.Table:
         order = pc.sort_indices(
-            table, sort_keys=[("_q", "ascending"), ("_cos", "descending"), ("id", "ascending")]
+            table, sort_keys=[("_q", "ascending"), ("_key", "descending"), ("id", "ascending")]
         )
         table = table.take(order)
         query = table.column("_q").to_numpy()
@@ -75,10 +77,9 @@ class TopK:
         table = table.filter(pa.array(rank < self.k))
         last = rank == self.k - 1
         if last.any():
-            cos = table.column("_cos").to_numpy()
-            kept = rank[rank < self.k]
-            at_k = kept == self.k - 1
-            self.floor[table.column("_q").to_numpy()[at_k]] = cos[at_k]
+            at_k = rank[rank < self.k] == self.k - 1
+            queries = table.column("_q").to_numpy()[at_k]
+            self.floor[queries] = table.column("_key").to_numpy()[at_k]
         return table
 
 
@@ -110,7 +111,7 @@ def partition_topk(
         own = [(i, j) for i, rid in enumerate(ids) for j in column_of.get(rid, ())]
         for lo in range(0, len(wanted), width):
             chosen = wanted[lo : lo + width]
-            cosines = np.round(block @ queries[chosen].T, COSINE_DECIMALS)
+            cosines = block @ queries[chosen].T
             if own:
                 place = {j: c for c, j in enumerate(chosen.tolist())}
                 for i, j in own:
@@ -131,7 +132,8 @@ def partition_topk(
             if wanted is not None:
                 score(batch.filter(pa.array(cells == cell)), wanted)
     if top.best is not None:
-        yield from top.best.combine_chunks().to_batches(max_chunksize=10_000)
+        best = top.best.drop_columns("_key").combine_chunks()
+        yield from best.to_batches(max_chunksize=10_000)
 
 
 def payload_schema(df: DataFrame) -> T.StructType:
@@ -152,8 +154,7 @@ def score_rows(vectors: DataFrame, query: list[float]) -> DataFrame:
             batch = usable_rows(batch, row.shape[1])
             if not batch.num_rows:
                 continue
-            block = unit_rows(matrix(batch.column("vector"), row.shape[1]))
-            cosines = np.round(block @ unit, COSINE_DECIMALS)
+            cosines = unit_rows(matrix(batch.column("vector"), row.shape[1])) @ unit
             names = [n for n in batch.schema.names if n != "vector"]
             out = batch.select(names)
             out = pa.RecordBatch.from_arrays([*out.columns, pa.array(cosines)], [*names, "cosine"])

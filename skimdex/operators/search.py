@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skimdex.functions.vectors import distance_to_score, similarity_band, similarity_percent
-from skimdex.operators.scoring import partition_topk, payload_schema, score_rows
+from skimdex.operators.scoring import COSINE_DECIMALS, partition_topk, payload_schema, score_rows
 from skimdex.schemas import METADATA
 
 # --- fixed values: page size and preview length ---
@@ -19,6 +19,11 @@ PREVIEW_CHARS = 200
 HIT_COLUMNS = ("id", "file_path", "chunk_index")
 
 
+def nearest_first() -> list[Column]:
+    """Sort keys of hits: distance at ranking precision, then id."""
+    return [F.round("distance", COSINE_DECIMALS), F.col("id")]
+
+
 def _narrow(vectors: DataFrame) -> DataFrame:
     return vectors.select(*[c for c in HIT_COLUMNS if c in vectors.columns], "vector")
 
@@ -39,7 +44,7 @@ def search_topk(vectors: DataFrame, query: list[float], k: int = DEFAULT_LIMIT)
     source = _narrow(vectors)
     found = source.mapInArrow(lambda it: partition_topk(it, rows, k), payload_schema(source))
     hits = _with_score(found, "_cos").drop("_q", "_cos")
-    return hits.orderBy("distance", "id").limit(k)
+    return hits.orderBy(*nearest_first()).limit(k)
 
 
 def best_per_file(hits: DataFrame) -> DataFrame:
@@ -48,17 +53,15 @@ def best_per_file(hits: DataFrame) -> DataFrame:
     One aggregate that combines before the shuffle: a file holding most of the hits still sends one
     row per task.
     """
-    rest = [c for c in hits.columns if c not in ("file_path", "score", "distance", "id")]
-    nearest = "distance" if "distance" in hits.columns else "score"
-    rank = F.col(nearest) if nearest == "distance" else -F.col(nearest)
-    keep = [c for c in ("score", "distance") if c in hits.columns]
-    best = F.min(F.struct(rank.alias("_rank"), "id", *keep, *rest)).alias("b")
+    rest = [c for c in hits.columns if c not in ("file_path", "id")]
+    away = F.col("distance") if "distance" in hits.columns else 1.0 - F.col("score")
+    rank = F.round(away, COSINE_DECIMALS).alias("_rank")
     return (
         hits.where(F.coalesce(F.col("file_path"), F.lit("")) != "")
         .groupBy("file_path")
-        .agg(best)
-        .select(*[F.col("file_path") if c == "file_path" else F.col(f"b.{c}") for c in hits.columns])
-        .orderBy(F.desc("score"), *([F.asc("distance")] if "distance" in keep else []), "id")
+        .agg(F.min(F.struct(rank, "id", *rest)).alias("b"))
+        .orderBy("b._rank", "b.id")
+        .select(*[F.col(c if c == "file_path" else f"b.{c}") for c in hits.columns])
     )
 
 
@@ -70,14 +73,14 @@ def search_page(
     ``has_more`` is true when the raw page came back full; ``total`` counts rows after
     de-duplication. Both windows below see at most one page.
     """
-    page = search_topk(vectors, query, offset + limit).orderBy("distance", "id").offset(offset)
+    page = search_topk(vectors, query, offset + limit).orderBy(*nearest_first()).offset(offset)
     whole_page = Window.partitionBy(F.lit(1))
     page = page.withColumn("has_more", F.count(F.lit(1)).over(whole_page) >= limit)
     return (
         best_per_file(page)
         .withColumn("total", F.count(F.lit(1)).over(whole_page).cast("int"))
         .withColumn("offset", F.lit(offset))
-        .orderBy("distance", "id")
+        .orderBy(*nearest_first())
     )
 
 
@@ -86,13 +89,13 @@ def search_files(
 ) -> DataFrame:
     """Best hit per file first, then paging: no file shows up on two pages."""
     scored = _with_score(score_rows(_narrow(vectors), query), "cosine").drop("cosine")
-    return best_per_file(scored).orderBy("distance", "id").offset(offset).limit(limit)
+    return best_per_file(scored).orderBy(*nearest_first()).offset(offset).limit(limit)
 
 
 def with_payload(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add each hit's metadata. ``hits`` is one page of a search, so it is small enough to ship."""
     rest = vectors.select("id", "metadata")
-    return F.broadcast(hits).join(rest, "id")
+    return F.broadcast(hits).join(rest, "id").orderBy(*nearest_first())
 
 
 def format_results(hits: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def written_gate(updates: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def upsert_meta(meta: DataFrame, updates: DataFrame, written: DataFrame) -> DataFrame:
-    """Metadata after insert-or-replace of the files that were written."""
-    accepted = written_gate(updates, written)
-    kept = meta.join(accepted.select("file_path"), "file_path", "left_anti")
-    return kept.unionByName(accepted.select(*meta.columns))
+    """Metadata after insert-or-replace of the files that were written; one shuffle by path."""
+    accepted = written_gate(updates, written).select(*meta.columns)
+    both = meta.withColumn("_fresh", F.lit(0)).unionByName(accepted.withColumn("_fresh", F.lit(1)))
+    return latest(both, ["file_path"], F.col("_fresh")).select(*meta.columns)

@@ -22,11 +22,10 @@ from skimdex.operators.index_rows import (
     image_index_rows,
     text_index_rows,
 )
-from skimdex.operators.maintain import RETENTION_HOURS
 from skimdex.operators.upsert import latest, written_gate
 from skimdex.session import spread
 from skimdex.sources.files import read_text_docs
-from skimdex.sources.tables import IndexStore
+from skimdex.sources.tables import BROADCAST_KEYS, IndexStore
 
 PHASES = ("scanning", "comparing", "processing", "cleanup", "indexing", "optimizing")
 
@@ -98,18 +97,18 @@ def _process(run: IndexRun, todo: DataFrame, options: IndexOptions) -> None:
     kind = file_type(F.col("file_path"))
     plain = "text" in todo.columns
     texts = todo.where(kind == "text")
-    if plain:
-        docs = texts.withColumn("error", F.lit(None).cast("string"))
-    else:
-        docs = read_text_docs(texts)
-    readable = docs.where(F.col("error").isNull()).drop("error")
+    docs = texts.withColumn("error", F.lit(None).cast("string")) if plain else read_text_docs(texts)
     chunks = chunk_documents(
-        spread(readable), options.chunk_size, options.chunk_overlap, options.sep
-    )
-    embed_texts(chunks, options.embedder).write.mode("overwrite").parquet(f"{run.path}/text")
-    errors = failed_files(run.text_chunks).unionByName(
-        docs.where(F.col("error").isNotNull()).select("file_path", "error")
+        spread(docs.withColumnRenamed("error", "read_error")),
+        options.chunk_size,
+        options.chunk_overlap,
+        options.sep,
+        keep_unread=True,
     )
+    embedded = embed_texts(chunks, options.embedder)
+    embedded = embedded.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
+    embedded.write.mode("overwrite").parquet(f"{run.path}/text")
+    errors = failed_files(run.text_chunks)
     if not plain:
         pictures = embed_images(todo.where(kind == "image"), options.image_embedder)
         pictures.write.mode("overwrite").parquet(f"{run.path}/images")
@@ -117,7 +116,7 @@ def _process(run: IndexRun, todo: DataFrame, options: IndexOptions) -> None:
     errors.write.mode("overwrite").parquet(f"{run.path}/errors")
 
 
-def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool, tag: str) -> bool:
+def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool, tag: str) -> None:
     """Replace the rows of changed files and drop deleted ones; vectors first, metadata second."""
     bad = run.errors.select("file_path")
     changed = incremental_files(run.diff).select("file_path", "new_hash")
@@ -144,7 +143,6 @@ def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool,
     )
     accepted = written_gate(entries, done)
     store.meta.upsert(accepted, done.select("file_path").unionByName(deleted), tag)
-    return not done.isEmpty()
 
 
 def incremental_index_job(
@@ -172,14 +170,11 @@ def _run(store, run, files, diff, options, plain, tag) -> IndexRun:
     diff.write.mode("overwrite").parquet(f"{run.path}/diff")
     todo = files.join(incremental_files(run.diff).select("file_path"), "file_path", "left_semi")
     _process(run, todo, options)
-    wrote = _merge(store, run, options, plain, tag)
-    if wrote and options.cells:
+    _merge(store, run, options, plain, tag)
+    if options.cells and not run.text_chunks.isEmpty():
         build_coarse_index(store.vectors.read(), f"{store.root}/coarse", options.cells)
-    if options.compact:
-        store.vectors.compact(options.target_files)
-        store.meta.compact(options.target_files)
-        store.vectors.vacuum(RETENTION_HOURS)
-        store.meta.vacuum(RETENTION_HOURS)
+    if options.compact or store.vectors.state().n_gone > BROADCAST_KEYS:
+        store.optimize(options.target_files)
     return run
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from skimdex.functions.embed import Embedder, HashingEmbedder
+from skimdex.operators.ann import probed
 from skimdex.operators.search import DEFAULT_LIMIT, format_results, search_page, with_payload
 
 
@@ -41,8 +42,15 @@ def search(
     offset: int = 0,
     limit: int = DEFAULT_LIMIT,
     embedder: Embedder | None = None,
+    centroids: DataFrame | None = None,
+    nprobe: int = 8,
 ) -> DataFrame:
-    """Validate, embed, fetch one page, de-duplicate and format. An empty table gives no rows."""
+    """Validate, embed, fetch one page, de-duplicate and format. An empty table gives no rows.
+
+    With ``centroids``, ``vectors`` are the cells of a coarse index and only the nearest are read.
+    """
     query = query_vector(vectors.sparkSession, kind, text, image_path, embedder)
+    if centroids is not None:
+        vectors = probed(vectors, centroids, query, nprobe)
     page = search_page(vectors, query, offset, limit)
     return format_results(with_payload(page, vectors))

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runtime settings every job relies on. They can be set on a live session.
 SETTINGS = {
@@ -64,3 +66,8 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A frame of ``schema`` without rows."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

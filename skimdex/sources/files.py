@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skimdex.functions.paths import IMAGE_EXTENSIONS, TEXT_EXTENSIONS, content_hash, file_type
+from skimdex.session import empty
+
+#: columns of Spark's ``binaryFile`` source
+BINARY_FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
 
 
 def _any_case(ext: str) -> str:
@@ -31,7 +43,8 @@ def load_files(
     """Files under the folders: file_path, file_size, modified_at, content.
 
     The extension test runs while listing, so other files are never opened; ``content`` is only
-    read by queries that use it. Missing folders and files that vanish are skipped.
+    read by queries that use it. Missing folders and files that vanish are skipped, and so are empty
+    files and names starting with ``_`` or ``.``, which Spark's file sources never list.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -48,9 +61,7 @@ def load_files(
             continue
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame(
-            [], "path string, modificationTime timestamp, length bigint, content binary"
-        )
+        found = empty(spark, BINARY_FILE)
     return found.select(
         F.regexp_replace("path", "^file:/*", "/").alias("file_path"),
         F.col("length").alias("file_size"),

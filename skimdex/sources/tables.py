@@ -9,21 +9,23 @@ new base. One writer at a time, as many readers as you like.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skimdex.operators.maintain import prune_versions
+from skimdex.operators.maintain import RETENTION_HOURS, prune_versions
 from skimdex.schemas import META, VECTORS
+from skimdex.session import empty
+
+#: replaced keys up to this number are shipped to every reader; a build compacts beyond it
+BROADCAST_KEYS = 2_000_000
 
 LOG = T.StructType(
     [
         T.StructField("gen", T.LongType()),
         T.StructField("base", T.LongType()),
-        T.StructField("has_gone", T.BooleanType()),
+        T.StructField("n_gone", T.LongType()),
         T.StructField("action", T.StringType()),
         T.StructField("tag", T.StringType()),
         T.StructField("created_at", T.TimestampType()),
@@ -46,15 +48,13 @@ class IndexTable:
         try:
             return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
         except AnalysisException:
-            return self.spark.createDataFrame([], LOG)
+            return empty(self.spark, LOG)
 
     def state(self) -> Row:
-        """Current generation and base (0 when nothing was written), and whether keys are gone."""
-        newest = self.log().agg(F.max(F.struct("gen", "base")).alias("s")).select("s.*").head()
-        if newest.gen is None:
-            return Row(gen=0, base=0, has_gone=False)
-        gone = self.log().where((F.col("gen") > newest.base) & F.col("has_gone")).limit(1).count()
-        return Row(gen=newest.gen, base=newest.base, has_gone=gone > 0)
+        """Current generation, its base (0 when nothing was written) and keys gone since the base."""
+        newest = F.max(F.struct("gen", "base", "n_gone")).alias("s")
+        found = self.log().agg(newest).select("s.*").head()
+        return Row(gen=0, base=0, n_gone=0) if found.gen is None else found
 
     def committed(self, tag: str) -> bool:
         return self.log().where(F.col("tag") == tag).limit(1).count() > 0
@@ -82,22 +82,24 @@ class IndexTable:
         try:
             rows = self.spark.read.schema(with_gen).parquet(f"{self.root}/{kind}")
         except AnalysisException:
-            return self.spark.createDataFrame([], with_gen)
+            return empty(self.spark, with_gen)
         return rows.where(F.col("gen").between(low, high))
 
     def read(self) -> DataFrame:
         """Live rows; an index that was never written reads as empty.
 
-        The replaced keys are few between compactions, so Spark usually ships them to the scan; it
-        decides by their actual size and falls back to a shuffled join.
+        Keys replaced since the last compaction travel to the scan while their number, which the
+        log knows, is small; beyond that the join is left to Spark.
         """
         now = self.state()
         rows = self._generations("rows", self.schema, now.base, now.gen)
-        if not now.has_gone:
+        if not now.n_gone:
             return rows.drop("gen")
         gone_key = T.StructType([self.schema[self.key]])
         gone = self._generations("gone", gone_key, now.base + 1, now.gen)
         last = gone.groupBy(self.key).agg(F.max("gen").alias("gone_gen"))
+        if now.n_gone <= BROADCAST_KEYS:
+            last = F.broadcast(last)
         later = (rows[self.key] == last[self.key]) & (rows["gen"] < last["gone_gen"])
         return rows.join(last, later, "left_anti").drop("gen")
 
@@ -110,7 +112,7 @@ class IndexTable:
         """Fill a generation folder; an empty write clears what a dead job may have left there."""
         path = f"{self.root}/{kind}/gen={gen}"
         if rows is None:
-            rows = self.spark.createDataFrame([], schema)
+            rows = empty(self.spark, schema)
         rows.select(*schema.names).write.mode("overwrite").parquet(path)
         return path
 
@@ -124,12 +126,20 @@ class IndexTable:
     ) -> int:
         """Make generation ``now.gen + 1``, whose rows are already written, visible."""
         gen = now.gen + 1
-        has_gone = replaced is not None and now.gen > 0
-        keys = replaced.select(self.key).distinct() if has_gone else None
-        self._write("gone", gen, keys, T.StructType([self.schema[self.key]]))
-        base = gen if new_base or now.gen == 0 else now.base
-        stamp = dt.datetime.now(dt.timezone.utc)
-        entry = self.spark.createDataFrame([(gen, base, has_gone, action, tag, stamp)], LOG)
+        keys = replaced.select(self.key).distinct() if replaced is not None and now.gen else None
+        gone = self._write("gone", gen, keys, T.StructType([self.schema[self.key]]))
+        fresh = new_base or now.gen == 0
+        added = 0 if fresh or keys is None else self.spark.read.parquet(gone).count()
+        n_gone = 0 if fresh else now.n_gone + added
+        base = gen if fresh else now.base
+        entry = self.spark.range(1).select(
+            F.lit(gen).cast("long").alias("gen"),
+            F.lit(base).cast("long").alias("base"),
+            F.lit(n_gone).cast("long").alias("n_gone"),
+            F.lit(action).alias("action"),
+            F.lit(tag).alias("tag"),
+            F.current_timestamp().alias("created_at"),
+        )
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
         return gen
 
@@ -161,16 +171,14 @@ class IndexTable:
         return self._commit(now, None, "clear", new_base=True)
 
     def compact(self, target_files: int | None = None) -> int:
-        """Rewrite the live rows as a new base and check that rows and content are unchanged.
+        """Rewrite the live rows as a new base and check that no row was lost, added or renamed.
 
         Without ``target_files`` the rebalance hint lets adaptive execution choose file sizes.
         """
         now = self.state()
         live = self.read()
-        checks = [
-            F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64(*self.schema.names)).alias("x"),
-        ]
+        narrow = [f.name for f in self.schema if f.name not in ("vector", "metadata")]
+        checks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*narrow)).alias("x")]
         before = live.agg(*checks).head()
         if target_files:
             live = live.repartitionByRange(target_files, self.key, self.schema.names[0])
@@ -222,6 +230,12 @@ class IndexStore:
             hit = self.vectors.read().join(paths.select("file_path").distinct(), "file_path", "left_semi")
             self.vectors.delete(hit.select(self.vectors.key))
 
+    def optimize(self, target_files: int | None = None, retention_hours: int = RETENTION_HOURS) -> None:
+        """Compact both tables, then delete generations nobody may need any more."""
+        for table in (self.vectors, self.meta):
+            table.compact(target_files)
+            table.vacuum(retention_hours)
+
     def clear(self) -> None:
         self.meta.clear()
         self.vectors.clear()
