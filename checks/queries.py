@@ -566,7 +566,7 @@ def _texts(spark, sf) -> DataFrame:
     docs = I.table(spark, sf, "documents").selectExpr("concat('d', doc_id) AS id", "text")
     talk = I.table(spark, sf, "conversations").selectExpr("concat('c', conv_id, '-', turn) AS id", "text")
     pages = I.table(spark, sf, "pages").selectExpr("concat('p', page_id) AS id", "html AS text")
-    return docs.unionByName(talk).unionByName(pages)
+    return spread(docs).unionByName(talk).unionByName(spread(pages))
 
 
 @register
