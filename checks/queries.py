@@ -509,11 +509,19 @@ def q_build_coarse_index(spark, sf):
 
 @register
 def q_build_coarse_index_kmeans(spark, sf):
+    """Trained centroids: every row is laid out once, in the cell whose centroid is nearest."""
     root = work_dir(spark, "coarse")
     vecs = I.vectors(spark, sf).select("id", "file_path", "vector")
     ann.build_coarse_index(vecs, root, cells=8, iterations=10)
-    cells, _ = ann.load_coarse_index(spark, root)
-    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
+    cells, centroids = ann.load_coarse_index(spark, root)
+    given = F.array(*[F.struct(F.lit(r.cell).alias("cell"), F.array(*map(F.lit, r.centroid)).alias("c")) for r in centroids.collect()])
+    cosine = lambda g: F.round(V.cosine_similarity(F.col("vector"), g["c"]), 9)
+    scored = F.transform(given, lambda g: F.struct(cosine(g).alias("s"), g["cell"].alias("cell")))
+    top = F.array_max(F.transform(scored, lambda g: g["s"]))
+    own = F.exists(scored, lambda g: (g["cell"] == F.col("cell")) & (g["s"] == F.col("top")))
+    return cells.withColumn("top", top).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(own).alias("n_nearest"), F.count_distinct("id").alias("n_ids")
+    )
 
 
 def _indexed(spark, sf) -> tuple[DataFrame, DataFrame]:

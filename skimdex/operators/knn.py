@@ -86,8 +86,7 @@ def knn_join(
 def fewer_tasks(source: DataFrame) -> DataFrame:
     """Let a task walk through several splits: every task sends ``k`` rows per query to the shuffle,
     so their number should follow the cores and not the size of the table."""
-    most = 4 * source.sparkSession.sparkContext.defaultParallelism
-    return source.coalesce(most) if source.rdd.getNumPartitions() > most else source
+    return source.coalesce(4 * source.sparkSession.sparkContext.defaultParallelism)
 
 
 def _named(source: DataFrame) -> T.StructType:

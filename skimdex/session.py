@@ -20,6 +20,9 @@ SETTINGS = {
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
+#: inputs up to this size are spread over all cores
+SPREAD_BYTES = 1024**3
+
 _local_base: dict[str, str] = {}
 
 
@@ -58,14 +61,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin rows ahead of a Python stage when the input has fewer splits than cores.
+    """Round-robin the rows of a small input ahead of a Python stage, so that all cores take part.
 
-    Large tables already have more splits than cores and pass through without a shuffle.
+    A few files, or files of one row group, would otherwise land in few tasks. The optimizer's size
+    estimate decides, which runs nothing; large inputs have many splits and pass without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > SPREAD_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

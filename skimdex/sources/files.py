@@ -62,6 +62,10 @@ def load_files(
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = empty(spark, BINARY_FILE)
+    return _named(found)
+
+
+def _named(found: DataFrame) -> DataFrame:
     return found.select(
         F.regexp_replace("path", "^file:/*", "/").alias("file_path"),
         F.col("length").alias("file_size"),
@@ -70,6 +74,22 @@ def load_files(
     )
 
 
+def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Stream of indexable files arriving in a folder, with ``file_hash``.
+
+    A stream reports a path once; later edits of the same path are found by the batch job.
+    """
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", _glob(IMAGE_EXTENSIONS + TEXT_EXTENSIONS))
+    )
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return _named(reader.load(folder)).withColumn("file_hash", content_hash(F.col("content")))
+
+
 def scan_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Snapshot of the indexable files: path, size, modification second, content hash."""
     files = load_files(spark, folders)

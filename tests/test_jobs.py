@@ -10,7 +10,7 @@ from skimdex.functions.paths import content_hash
 from skimdex.operators.diff import progress_by_phase
 from skimdex.plans.jobs import IndexOptions, incremental_index_job
 from skimdex.plans.query import search
-from skimdex.sources.files import load_files
+from skimdex.sources.files import load_files, stream_files
 from skimdex.sources.tables import IndexStore
 from skimdex.streaming.ingest import incremental_index_stream
 
@@ -152,6 +152,18 @@ def test_stream_equals_batch_and_replays_are_skipped(spark, folder):
     assert hashes(streamed) == hashes(batch)
 
 
+def test_files_arriving_in_a_folder(spark, folder):
+    root, store = f"{folder}/files", IndexStore(spark, f"{folder}/index")
+    put(root, "a.txt", "first text")
+    put(root, "p.png", _png(3, 3))
+    put(root, "skip.pdf", "no")
+    for _ in range(2):
+        incremental_index_stream(store, stream_files(spark, root, 2), f"{folder}/cp", OPTIONS).awaitTermination()
+        put(root, "sub/b.md", "second text")
+    assert contents(store) == [("a.txt", 0), ("b.md", 0), ("p.png", 0)]
+    assert indexed(store) == ["a.txt", "b.md", "p.png"]
+
+
 def test_vectors_without_metadata_are_replaced_on_the_next_run(spark, folder):
     """A run that died between the two tables repeats the files without doubling rows."""
     store = IndexStore(spark, f"{folder}/index")
