@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -18,7 +17,13 @@ from pyspark.sql import types as T
 
 from skimdex.functions.vectors import cosine_similarity, dot
 from skimdex.operators.knn import BROADCAST_BYTES, _named, _ranked, fewer_tasks, small_matrix
-from skimdex.operators.scoring import COSINE_DECIMALS, partition_topk, unit_rows
+from skimdex.operators.scoring import (
+    BLOCK_CELLS,
+    COSINE_DECIMALS,
+    partition_topk,
+    unit_rows,
+    usable_slices,
+)
 from skimdex.operators.search import search_topk
 
 CENTROIDS = T.StructType(
@@ -61,18 +66,18 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     cells, unit = _centroid_matrix(centroids)
     dim = unit.shape[1]
 
-    def nearest(values: pd.Series) -> pd.Series:
-        out = np.full(len(values), -1, dtype=np.int32)
-        good = [i for i, v in enumerate(values) if v is not None and len(v) == dim]
-        if good:
-            block = unit_rows(np.array([values.iloc[i] for i in good], dtype=np.float64))
-            cosines = np.round(block @ unit.T, COSINE_DECIMALS)
-            ranked = np.where(np.isnan(cosines), -np.inf, cosines)
-            usable = ~np.isnan(block).any(axis=1)
-            out[good] = np.where(usable, cells[np.argmax(ranked, axis=1)], -1)
-        return pd.Series(out)
+    def nearest(vectors: pa.Array) -> pa.Array:
+        out = np.full(len(vectors), -1, dtype=np.int32)
+        step = max(1, BLOCK_CELLS // len(cells))
+        for rows, values in usable_slices(vectors, dim):
+            for lo in range(0, len(rows), step):
+                block = unit_rows(values[lo : lo + step])
+                usable = ~np.isnan(block).any(axis=1)
+                cosines = np.round(block[usable] @ unit.T, COSINE_DECIMALS)
+                out[rows[lo : lo + step][usable]] = cells[np.argmax(cosines, axis=1)]
+        return pa.array(out)
 
-    return vectors.withColumn("cell", F.pandas_udf(nearest, T.IntegerType())(F.col("vector")))
+    return vectors.withColumn("cell", F.arrow_udf(nearest, T.IntegerType())(F.col("vector")))
 
 
 def build_coarse_index(
@@ -188,20 +193,17 @@ def quantize_sq8(vectors: DataFrame, ranges: DataFrame | None = None) -> DataFra
             *[c for c in vectors.columns if c != "vector"], F.lit(None).cast("binary").alias("code")
         )
     low, high = np.asarray(bounds.low), np.asarray(bounds.high)
-    span = high - low
-
-    def encode(values: pd.Series) -> pd.Series:
-        good = values.map(lambda v: v is not None and len(v) == len(low))
-        out = pd.Series([None] * len(values), dtype=object)
-        if good.any():
-            block = np.array(values[good].tolist(), dtype=np.float64)
-            scale = np.where(span > 0, span, 1.0)
-            steps = np.floor((block - low) * 255.0 / scale + 0.5)
+    scale = np.where(high > low, high - low, 1.0)
+
+    def encode(vectors: pa.Array) -> pa.Array:
+        out = np.full(len(vectors), None, dtype=object)
+        for rows, values in usable_slices(vectors, len(low)):
+            steps = np.floor((values - low) * 255.0 / scale + 0.5)
             codes = np.clip(np.nan_to_num(steps), 0, 255).astype(np.uint8)
-            out[good.to_numpy()] = [row.tobytes() for row in codes]
-        return out
+            out[rows] = [code.tobytes() for code in codes]
+        return pa.array(out, pa.binary())
 
-    code = F.pandas_udf(encode, T.BinaryType())(F.col("vector"))
+    code = F.arrow_udf(encode, T.BinaryType())(F.col("vector"))
     return vectors.withColumn("code", code).drop("vector")
 
 

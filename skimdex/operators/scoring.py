@@ -14,25 +14,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: upper bound on one score block (rows x queries) held by a task
+#: upper bound on the numbers in one matrix (rows x dimensions or rows x queries) of a task
 BLOCK_CELLS = 4_000_000
 #: cosines rank at this many decimals: equal vectors tie wherever their row happens to sit
 COSINE_DECIMALS = 12
 
 
-def usable_rows(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
-    """Keep rows whose vector has ``dim`` entries."""
-    vectors = batch.column("vector")
-    keep = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
-    return batch.filter(keep)
-
-
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list array as a float64 matrix; a null entry becomes NaN."""
     flat = pc.cast(vectors.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
     return flat.reshape(-1, dim)
 
 
+def usable_slices(vectors: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and values of the vectors with ``dim`` entries, in slices of bounded size.
+
+    Wide vectors make an Arrow batch large, so it is never turned into one matrix.
+    """
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
+    rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    step = max(1, BLOCK_CELLS // dim)
+    for lo in range(0, len(rows), step):
+        chosen = rows[lo : lo + step]
+        yield chosen, matrix(vectors.take(pa.array(chosen)), dim)
+
+
 def unit_rows(block: np.ndarray) -> np.ndarray:
     """Scale rows to length 1; zero rows become NaN so they never rank."""
     norms = np.sqrt(np.einsum("ij,ij->i", block, block))
@@ -102,12 +108,15 @@ def partition_topk(
         column_of.setdefault(qid, []).append(j)
     everyone = np.arange(n_queries)
     top = TopK(n_queries, k)
+    kept: list[str] = []
 
     def score(part: pa.RecordBatch, wanted: np.ndarray) -> None:
-        block = unit_rows(matrix(part.column("vector"), dim))
-        payload = part.select([n for n in part.schema.names if n not in ("vector", "cell")])
+        for rows, values in usable_slices(part.column("vector"), dim):
+            offer(part.select(kept).take(pa.array(rows)), unit_rows(values), wanted)
+
+    def offer(payload: pa.RecordBatch, block: np.ndarray, wanted: np.ndarray) -> None:
         width = max(1, BLOCK_CELLS // max(1, len(block)))
-        ids = part.column("id").to_pylist() if column_of else []
+        ids = payload.column("id").to_pylist() if column_of else []
         own = [(i, j) for i, rid in enumerate(ids) for j in column_of.get(rid, ())]
         for lo in range(0, len(wanted), width):
             chosen = wanted[lo : lo + width]
@@ -120,9 +129,7 @@ def partition_topk(
             top.offer(cosines, chosen, payload)
 
     for batch in batches:
-        batch = usable_rows(batch, dim)
-        if not batch.num_rows:
-            continue
+        kept = [n for n in batch.schema.names if n not in ("vector", "cell")]
         if probes is None:
             score(batch, everyone)
             continue
@@ -144,21 +151,40 @@ def payload_schema(df: DataFrame) -> T.StructType:
     )
 
 
-def score_rows(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """Every usable row with its ``cosine`` to one query vector; the vector itself is dropped."""
+def best_of_each(rows: pa.RecordBatch, key: str) -> pa.RecordBatch:
+    """The nearest row per ``key`` value within a batch; rows without a key are dropped."""
+    near = pc.round(rows.column("cosine"), COSINE_DECIMALS)
+    keyed = pa.table({"key": rows.column(key), "near": near, "id": rows.column("id")})
+    sort = [("key", "ascending"), ("near", "descending"), ("id", "ascending")]
+    rows = rows.take(pc.sort_indices(keyed, sort_keys=sort))
+    rows = rows.filter(rows.column(key).is_valid())
+    values = rows.column(key)
+    if len(values) < 2:
+        return rows
+    first = pc.not_equal(values.slice(1), values.slice(0, len(values) - 1))
+    return rows.filter(pa.concat_arrays([pa.array([True]), first]))
+
+
+def score_rows(vectors: DataFrame, query: list[float], best_by: str | None = None) -> DataFrame:
+    """Every usable row with its ``cosine`` to one query vector; the vector itself is dropped.
+
+    With ``best_by`` a batch keeps only its nearest row per value of that column, which thins out
+    the rows ahead of a per-value aggregate.
+    """
     row = np.asarray(query, dtype=np.float64)[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = unit_rows(row)[0]
         for batch in batches:
-            batch = usable_rows(batch, row.shape[1])
-            if not batch.num_rows:
-                continue
-            cosines = unit_rows(matrix(batch.column("vector"), row.shape[1])) @ unit
-            names = [n for n in batch.schema.names if n != "vector"]
-            out = batch.select(names)
-            out = pa.RecordBatch.from_arrays([*out.columns, pa.array(cosines)], [*names, "cosine"])
-            yield out.filter(pa.array(~np.isnan(cosines)))
+            rest = batch.select([n for n in batch.schema.names if n != "vector"])
+            for rows, values in usable_slices(batch.column("vector"), row.shape[1]):
+                cosines = unit_rows(values) @ unit
+                ranked = ~np.isnan(cosines)
+                part = rest.take(pa.array(rows[ranked]))
+                out = pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(cosines[ranked])], [*part.schema.names, "cosine"]
+                )
+                yield best_of_each(out, best_by) if best_by else out
 
     kept = [f for f in vectors.schema.fields if f.name != "vector"]
     return vectors.mapInArrow(run, T.StructType([*kept, T.StructField("cosine", T.DoubleType())]))

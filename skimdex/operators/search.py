@@ -88,7 +88,8 @@ def search_files(
     vectors: DataFrame, query: list[float], offset: int = 0, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
     """Best hit per file first, then paging: no file shows up on two pages."""
-    scored = _with_score(score_rows(_narrow(vectors), query), "cosine").drop("cosine")
+    scored = score_rows(_narrow(vectors), query, best_by="file_path")
+    scored = _with_score(scored, "cosine").drop("cosine")
     return best_per_file(scored).orderBy(*nearest_first()).offset(offset).limit(limit)
 
 
