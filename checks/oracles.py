@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries. Queries without an entry are checked for rows only."""
+"""DuckDB SQL for the registered queries."""
 
 from __future__ import annotations
 
@@ -338,6 +338,8 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
 b AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM e GROUP BY pos)
 SELECT id, string_agg(printf('%02X', CAST(floor((x - lo) * 255.0::DOUBLE / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + 0.5) AS INT)),
   '' ORDER BY pos) AS code FROM e JOIN b USING (pos) GROUP BY id""",
+        "lsh_neighbors": _with(V, Q, SCORED)
+        + f"SELECT id, file_path, {SCORE} AS score FROM (SELECT * FROM s ORDER BY round(c, 12) DESC, id LIMIT 10)",
         "tokenize_words": _with(TEXTS)
         + f"""SELECT id, CAST(len(ws) AS INT) AS n_words, array_to_string(ws, ' ') AS words FROM (
   SELECT id, {WORDS} AS ws FROM x)""",

@@ -564,7 +564,9 @@ def q_quantize_sq8(spark, sf):
 
 @register
 def q_lsh_neighbors(spark, sf):
-    return ann.lsh_neighbors(I.vectors(spark, sf), I.QUERY, 10)
+    """Buckets as wide as the data, where only a row differing in all tables could be missed."""
+    out = ann.lsh_neighbors(I.vectors(spark, sf), I.QUERY, 10, bucket=4.0, tables=24)
+    return out.select("id", "file_path", _score6())
 
 
 # -- text to vectors -----------------------------------------------------------------------------

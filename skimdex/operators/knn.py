@@ -40,7 +40,8 @@ def small_matrix(
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     nearness = F.round("_cos", COSINE_DECIMALS)
-    best_first = Window.partitionBy("query_id").orderBy(nearness.desc(), "id")
+    ties = [c for c in ("id", "file_path") if c in found.columns]
+    best_first = Window.partitionBy("query_id").orderBy(nearness.desc(), *ties)
     return (
         found.withColumn("rank", F.row_number().over(best_first))
         .where(F.col("rank") <= k)
@@ -95,7 +96,9 @@ def _named(source: DataFrame) -> T.StructType:
 
 
 def _grid(queries: DataFrame, source: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
-    """Top-k per block pair. Blocks are drawn by hashing unique keys, so copies spread evenly."""
+    """Top-k per block pair. Blocks are drawn by hashing unique keys (equal images share an id, but
+    not a path), so copies spread evenly."""
+    unique = [c for c in source.columns if c != "vector"]
     q_blocks = max(1, -(-queries.count() // GRID_ROWS))
     v_blocks = max(1, -(-source.count() // GRID_ROWS))
     left = queries.select(
@@ -106,7 +109,7 @@ def _grid(queries: DataFrame, source: DataFrame, k: int, exclude_same_id: bool)
     )
     right = source.select(
         *source.columns,
-        F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb"),
+        F.pmod(F.xxhash64(*unique), F.lit(v_blocks)).alias("vb"),
         F.expr(f"explode(sequence(0L, {q_blocks - 1}L))").alias("qb"),
     )
     out = _named(source)

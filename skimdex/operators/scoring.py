@@ -47,7 +47,7 @@ def unit_rows(block: np.ndarray) -> np.ndarray:
 
 
 class TopK:
-    """The ``k`` best rows per query seen so far: cosine descending, then id ascending."""
+    """The ``k`` best rows per query seen so far: cosine descending, then id and path ascending."""
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
@@ -73,10 +73,9 @@ class TopK:
         self.best = self._cut(found if self.best is None else pa.concat_tables([self.best, found]))
 
     def _cut(self, table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(
-            table, sort_keys=[("_q", "ascending"), ("_key", "descending"), ("id", "ascending")]
-        )
-        table = table.take(order)
+        ties = [(c, "ascending") for c in ("id", "file_path") if c in table.schema.names]
+        sort = [("_q", "ascending"), ("_key", "descending"), *ties]
+        table = table.take(pc.sort_indices(table, sort_keys=sort))
         query = table.column("_q").to_numpy()
         starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
         rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))

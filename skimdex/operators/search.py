@@ -20,8 +20,8 @@ HIT_COLUMNS = ("id", "file_path", "chunk_index")
 
 
 def nearest_first() -> list[Column]:
-    """Sort keys of hits: distance at ranking precision, then id."""
-    return [F.round("distance", COSINE_DECIMALS), F.col("id")]
+    """Sort keys of hits: distance at ranking precision, then id; equal images share an id, so path."""
+    return [F.round("distance", COSINE_DECIMALS), F.col("id"), F.col("file_path")]
 
 
 def _narrow(vectors: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def best_per_file(hits: DataFrame) -> DataFrame:
         hits.where(F.coalesce(F.col("file_path"), F.lit("")) != "")
         .groupBy("file_path")
         .agg(F.min(F.struct(rank, "id", *rest)).alias("b"))
-        .orderBy("b._rank", "b.id")
+        .orderBy("b._rank", "b.id", "file_path")
         .select(*[F.col(c if c == "file_path" else f"b.{c}") for c in hits.columns])
     )
 
@@ -94,9 +94,13 @@ def search_files(
 
 
 def with_payload(hits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Add each hit's metadata. ``hits`` is one page of a search, so it is small enough to ship."""
-    rest = vectors.select("id", "metadata")
-    return F.broadcast(hits).join(rest, "id").orderBy(*nearest_first())
+    """Add each hit's metadata, keeping the order.
+
+    A page's limit bounds the optimizer's size estimate, so an ordinary page is shipped to a scan of
+    the narrow columns and a very long one is joined by a shuffle.
+    """
+    rest = vectors.select("id", "file_path", "metadata")
+    return hits.join(rest, ["id", "file_path"]).orderBy(*nearest_first())
 
 
 def format_results(hits: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skimdex.functions.embed import Embedder, HashingEmbedder
 from skimdex.functions.paths import file_type
 from skimdex.functions.text import CHUNK_OVERLAP, CHUNK_SIZE
-from skimdex.operators.ann import build_coarse_index
+from skimdex.operators.ann import build_coarse_index, load_coarse_index
 from skimdex.operators.chunk import chunk_documents
 from skimdex.operators.diff import incremental_files, index_summary, snapshot_diff
 from skimdex.operators.index_rows import (
@@ -69,6 +69,10 @@ class IndexRun:
     def images(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/images")
 
+    def coarse(self) -> tuple[DataFrame, DataFrame]:
+        """(cells, centroids) if the build was asked for a coarse index."""
+        return load_coarse_index(self.spark, f"{self.path}/coarse")
+
     def summary(self) -> DataFrame:
         return index_summary(self.diff, self.errors)
 
@@ -171,8 +175,8 @@ def _run(store, run, files, diff, options, plain, tag) -> IndexRun:
     todo = files.join(incremental_files(run.diff).select("file_path"), "file_path", "left_semi")
     _process(run, todo, options)
     _merge(store, run, options, plain, tag)
-    if options.cells and not run.text_chunks.isEmpty():
-        build_coarse_index(store.vectors.read(), f"{store.root}/coarse", options.cells)
+    if options.cells:
+        build_coarse_index(store.vectors.read(), f"{run.path}/coarse", options.cells)
     if options.compact or store.vectors.state().n_gone > BROADCAST_KEYS:
         store.optimize(options.target_files)
     return run

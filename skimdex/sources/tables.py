@@ -111,9 +111,8 @@ class IndexTable:
     def _write(self, kind: str, gen: int, rows: DataFrame | None, schema: T.StructType) -> str:
         """Fill a generation folder; an empty write clears what a dead job may have left there."""
         path = f"{self.root}/{kind}/gen={gen}"
-        if rows is None:
-            rows = empty(self.spark, schema)
-        rows.select(*schema.names).write.mode("overwrite").parquet(path)
+        rows = empty(self.spark, schema) if rows is None else rows.select(*schema.names)
+        rows.write.mode("overwrite").parquet(path)
         return path
 
     def _commit(

@@ -91,6 +91,10 @@ def test_shared_image_rows_by_id(spark, folder):
     put(root, "b.png", _png(2, 2))
     incremental_index_job(store, scan(spark, root), OPTIONS)
     assert store.vectors.read().count() == 1
+    by_path = IndexStore(spark, f"{folder}/by_path")
+    incremental_index_job(by_path, scan(spark, root), OPTIONS)
+    hits = search(by_path.vectors.read(), "image", image_path=f"{root}/a.png").collect()
+    assert [h.file_name for h in hits] == ["a.png", "b.png"]
     assert indexed(store) == ["a.png", "b.png"]
 
 
@@ -114,10 +118,13 @@ def test_scoped_run_leaves_other_folders_alone(spark, folder):
     os.remove(f"{folder}/a/x.txt")
     put(f"{folder}/a", "z.txt", "third")
     scoped = IndexOptions(scope=f"{folder}/a/", compact=True, cells=2)
-    incremental_index_job(store, scan(spark, f"{folder}/a"), scoped)
+    run = incremental_index_job(store, scan(spark, f"{folder}/a"), scoped)
     assert indexed(store) == ["y.txt", "z.txt"]
     assert store.vectors.state().n_gone == 0
-    assert spark.read.parquet(f"{store.root}/coarse/cells").count() == 2
+    cells, centroids = run.coarse()
+    assert cells.count() == 2
+    hits = search(cells, "text", text="third", limit=5, centroids=centroids, nprobe=1).collect()
+    assert hits[0].file_name == "z.txt" and hits[0].similarity == 100.0
 
 
 def text_stream(spark, path):
