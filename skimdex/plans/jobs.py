@@ -120,8 +120,13 @@ def _process(run: IndexRun, todo: DataFrame, options: IndexOptions) -> None:
     errors.write.mode("overwrite").parquet(f"{run.path}/errors")
 
 
-def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool, tag: str) -> None:
-    """Replace the rows of changed files and drop deleted ones; vectors first, metadata second."""
+def _merge(
+    store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool, tag: str, replay: bool
+) -> None:
+    """Replace the rows of changed files and drop deleted ones; vectors first, metadata second.
+
+    ``replay`` says that the tag may have been used before, by a run that died half-way.
+    """
     bad = run.errors.select("file_path")
     changed = incremental_files(run.diff).select("file_path", "new_hash")
     done = changed.join(bad, "file_path", "left_anti")
@@ -138,7 +143,7 @@ def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool,
         rows = latest(rows, ["id"], F.col("file_path"))
         gone = live.join(deleted, "file_path", "left_semi").select("id")
         replaced = rows.select("id").unionByName(gone)
-    if not store.vectors.committed(tag):
+    if not (replay and store.vectors.committed(tag)):
         store.vectors.upsert(rows, replaced, tag)
 
     stamp = F.lit(options.now) if options.now else F.current_timestamp()
@@ -160,21 +165,21 @@ def incremental_index_job(
     its result before the next one starts, so a repeated run after a crash only repeats work.
     """
     options = options or IndexOptions()
-    tag = tag or uuid.uuid4().hex
+    replay, tag = bool(tag), tag or uuid.uuid4().hex
     run = IndexRun(store.spark, f"{store.root}/runs/{tag}")
     plain = "text" in files.columns
     seen = files.select("file_path", "modified_at", "file_hash").where(
         file_type(F.col("file_path")).isNotNull()
     )
     diff = snapshot_diff(seen, store.meta.read(), options.scope)
-    return _run(store, run, files, diff, options, plain, tag)
+    return _run(store, run, files, diff, options, plain, tag, replay)
 
 
-def _run(store, run, files, diff, options, plain, tag) -> IndexRun:
+def _run(store, run, files, diff, options, plain, tag, replay) -> IndexRun:
     diff.write.mode("overwrite").parquet(f"{run.path}/diff")
     todo = files.join(incremental_files(run.diff).select("file_path"), "file_path", "left_semi")
     _process(run, todo, options)
-    _merge(store, run, options, plain, tag)
+    _merge(store, run, options, plain, tag, replay)
     if options.cells:
         build_coarse_index(store.vectors.read(), f"{run.path}/coarse", options.cells)
     if options.compact or store.vectors.state().n_gone > BROADCAST_KEYS:
@@ -190,8 +195,8 @@ def index_arrivals(
     A batch that was already committed under ``tag`` is skipped, so a replay changes nothing.
     """
     options = options or IndexOptions()
-    tag = tag or uuid.uuid4().hex
-    if store.meta.committed(tag):
+    replay, tag = bool(tag), tag or uuid.uuid4().hex
+    if replay and store.meta.committed(tag):
         return None
     run = IndexRun(store.spark, f"{store.root}/runs/{tag}")
     newest = latest(files, ["file_path"], F.struct("modified_at", "file_hash"))
@@ -199,4 +204,5 @@ def index_arrivals(
         file_type(F.col("file_path")).isNotNull()
     )
     known = store.meta.read().join(seen.select("file_path"), "file_path", "left_semi")
-    return _run(store, run, newest, snapshot_diff(seen, known), options, "text" in files.columns, tag)
+    diff = snapshot_diff(seen, known)
+    return _run(store, run, newest, diff, options, "text" in files.columns, tag, replay)

@@ -128,6 +128,7 @@ class IndexTable:
         keys = replaced.select(self.key).distinct() if replaced is not None and now.gen else None
         gone = self._write("gone", gen, keys, T.StructType([self.schema[self.key]]))
         fresh = new_base or now.gen == 0
+        # readers skip the gone keys when there are none, so the number comes from the files
         added = 0 if fresh or keys is None else self.spark.read.parquet(gone).count()
         n_gone = 0 if fresh else now.n_gone + added
         base = gen if fresh else now.base
