@@ -160,7 +160,7 @@ def incremental_index_job(
     """Bring the index in line with ``files``.
 
     ``files`` holds each path once: file_path, file_size, modified_at, file_hash and either
-    ``content`` (bytes) or ``text``. Only changed files are read again, chunked and embedded. A file
+    ``content`` (bytes) or ``text``. Only changed files are chunked and embedded. A file
     with any error keeps its old rows and stays on the work list of the next run. Every step writes
     its result before the next one starts, so a repeated run after a crash only repeats work.
     """
