@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 from skimdex.llm.common import SPACE, session, stored
 from skimdex.session import work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE = "spark.sql.streaming.stateStore."
+#: disk-backed state; one store per shuffle partition, so none may reserve space ahead
+SETTINGS = {
+    _STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STATE + "rocksdb.allowFAllocate": "false",
+    _STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -41,21 +46,18 @@ class DedupState:
 
     def feed(self, path: str, schema, files_per_batch: int | None = None) -> None:
         """Fold the slim rows below ``path`` that were not folded before into the state."""
-        before = self.spark.conf.get(PROVIDER)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
-        try:
-            reader = self.spark.readStream.schema(schema)
-            if files_per_batch:
-                reader = reader.option("maxFilesPerTrigger", files_per_batch)
-            best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-            seen = reader.parquet(path).groupBy("digest").agg(best.alias("keep"), F.count("*").alias("n"))
-            query = (
-                seen.writeStream.format("noop").outputMode("update")
-                .option("checkpointLocation", self.folder).trigger(availableNow=True).start()
-            )
-            query.awaitTermination()
-        finally:
-            self.spark.conf.set(PROVIDER, before)
+        for key, value in SETTINGS.items():
+            self.spark.conf.set(key, value)
+        reader = self.spark.readStream.schema(schema)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+        seen = reader.parquet(path).groupBy("digest").agg(best.alias("keep"), F.count("*").alias("n"))
+        query = (
+            seen.writeStream.format("noop").outputMode("update")
+            .option("checkpointLocation", self.folder).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
 
     def entries(self) -> DataFrame:
         """(digest, keep_id, keep_row, n) of every digest seen."""
