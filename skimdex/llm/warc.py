@@ -43,8 +43,11 @@ COLUMNS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages, itself independent of their order; may be empty."""
-    short = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("page_id", "html")
-    rows = short.orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE).collect()
+    short = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html")
+    # marks are chosen first, so that only the pages of the sample travel
+    marks = F.broadcast(short.select(F.xxhash64("html").alias("mark")).distinct().orderBy(F.xxhash64("mark")).limit(SAMPLE))
+    chosen = short.withColumn("mark", F.xxhash64("html")).join(marks, "mark").groupBy("mark").agg(F.first("html").alias("html"))
+    rows = chosen.orderBy("mark").collect()
     samples = [r.html.encode() for r in rows]
     if len(samples) < 20:
         return b""
