@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skimdex.llm.common import session
+from skimdex.llm.common import session, small, stored
 
 SEED = 17
+#: up to so many sources are broadcast; their steps come to some 500 bytes each
+SOURCES = 20_000
 #: exponent on source sizes for the default targets: 1 keeps the mix, 0 makes sources equal
 TEMPER = 0.5
 
@@ -70,6 +72,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, seed: int = S
     session(docs)
     sizes = source_sizes(docs)
     steps = poisson_steps(sizes, tempered(sizes) if targets is None else targets, epochs)
+    steps = small(stored(steps, "poisson-steps"), SOURCES)  # documents stay where they are unless sources abound
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
     drawn = rows.join(steps, rows["source"].eqNullSafe(steps["source"])).select("row", "doc_id", "steps")
     u = uniform(F.lit(str(seed)), "doc_id")
