@@ -13,11 +13,14 @@ def snapshot_diff(current: DataFrame, meta: DataFrame, scope: str | None = None)
     under that prefix can turn out deleted, so a scan of one folder leaves the others alone.
     """
     newest = F.max(F.struct("modified_at", "file_hash")).alias("f")
-    now = current.groupBy("file_path").agg(newest).select("file_path", F.col("f.file_hash").alias("new_hash"))
-    then = meta.select("file_path", F.col("file_hash").alias("old_hash"))
+    now = current.groupBy("file_path").agg(newest).select(
+        "file_path", F.col("f.file_hash").alias("new_hash"), F.lit(True).alias("_here")
+    )
+    then = meta.select("file_path", F.col("file_hash").alias("old_hash"), F.lit(True).alias("_known"))
+    # presence decides, not the hash: a file that is there without a hash is not deleted
     change = (
-        F.when(F.col("old_hash").isNull(), "new")
-        .when(F.col("new_hash").isNull(), "deleted")
+        F.when(F.col("_known").isNull(), "new")
+        .when(F.col("_here").isNull(), "deleted")
         .when(F.col("old_hash") != F.col("new_hash"), "modified")
         .otherwise("unchanged")
     )

@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skimdex.functions.vectors import distance_to_score
 from skimdex.operators.scoring import COSINE_DECIMALS, partition_topk, payload_schema
 
 #: query matrices up to this size travel to every executor; larger ones take the grid
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: partial results of a query are merged in so many branches first
+MERGE_BRANCHES = 64
 #: rows per side of a grid block, which bounds what one task holds
 GRID_ROWS = 50_000
 
@@ -39,8 +41,12 @@ def small_matrix(
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` of what the tasks found, merged in two steps so that no task sees all of a query."""
     nearness = F.round("_cos", COSINE_DECIMALS)
     ties = [c for c in ("id", "file_path") if c in found.columns]
+    found = found.withColumn("_branch", F.spark_partition_id() % MERGE_BRANCHES)
+    branch = Window.partitionBy("query_id", "_branch").orderBy(nearness.desc(), *ties)
+    found = found.withColumn("_at", F.row_number().over(branch)).where(F.col("_at") <= k).drop("_at", "_branch")
     best_first = Window.partitionBy("query_id").orderBy(nearness.desc(), *ties)
     return (
         found.withColumn("rank", F.row_number().over(best_first))
@@ -62,14 +68,27 @@ def knn_join(
 
     While the query matrix is small, one pass over ``vectors`` answers all queries and only
     ``k`` rows per query and task are shuffled. Otherwise both sides are cut into blocks and every
-    block pair keeps its own top-k, so memory stays bounded for any number of queries.
+    block pair keeps its own top-k, so memory stays bounded for any number of queries. In both plans a
+    query meets the vectors of its own width; queries without a usable vector have no neighbours.
     """
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where(F.size("vector") > 0)
     source = vectors.select(*[c for c in ("id", "file_path") if c in vectors.columns], "vector")
-    small = small_matrix(queries, "query_id", "vector", broadcast_bytes)
-    if small is None:
+    widths = {r.width: r.n for r in queries.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect()}
+    if sum(w * n * 8 for w, n in widths.items()) > broadcast_bytes:
         return _ranked(_grid(queries, source, k, exclude_same_id), k)
-    query_ids, rows = small
+    found = None
+    for width in sorted(widths) or [1]:
+        part = _broadcast_pass(queries.where(F.size("vector") == width), source, k, exclude_same_id)
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, k)
+
+
+def _broadcast_pass(queries: DataFrame, source: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
+    """Top-k per query and task for queries of one width, whose size was checked."""
+    table = queries.toPandas()
+    query_ids = table["query_id"].tolist()
+    width = len(table["vector"][0]) if query_ids else 1
+    rows = np.array([np.asarray(v, dtype=np.float64) for v in table["vector"]]).reshape(-1, width)
     shipped = queries.sparkSession.sparkContext.broadcast((query_ids, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +100,7 @@ def knn_join(
                 ["query_id", *out.schema.names[1:]],
             )
 
-    return _ranked(fewer_tasks(source).mapInArrow(run, _named(source)), k)
-
-
-def fewer_tasks(source: DataFrame) -> DataFrame:
-    """Let a task walk through several splits: every task sends ``k`` rows per query to the shuffle,
-    so their number should follow the cores and not the size of the table."""
-    return source.coalesce(4 * source.sparkSession.sparkContext.defaultParallelism)
+    return source.mapInArrow(run, _named(source))
 
 
 def _named(source: DataFrame) -> T.StructType:
@@ -104,34 +117,31 @@ def _grid(queries: DataFrame, source: DataFrame, k: int, exclude_same_id: bool)
     left = queries.select(
         "query_id",
         F.col("vector").alias("query_vector"),
+        F.size("vector").alias("width"),
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
         F.expr(f"explode(sequence(0L, {v_blocks - 1}L))").alias("vb"),
     )
     right = source.select(
         *source.columns,
+        F.size("vector").alias("width"),
         F.pmod(F.xxhash64(*unique), F.lit(v_blocks)).alias("vb"),
         F.expr(f"explode(sequence(0L, {q_blocks - 1}L))").alias("qb"),
     )
     out = _named(source)
-    kept = [f.name for f in out.fields]
+    empty = to_arrow_schema(out).empty_table()
     columns = list(source.columns)
-    value = T.ArrayType(T.FloatType())
-    row_type = pa.schema(
-        [(c, pa.list_(pa.float32()) if c == "vector" else pa.string()) for c in columns]
-    )
 
-    def run(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(rows):
-            return pd.DataFrame({c: [] for c in kept})
-        matrix = np.array([np.asarray(v, dtype=np.float64) for v in block["query_vector"]])
-        ids = block["query_id"].tolist()
-        batch = pa.RecordBatch.from_pandas(rows[columns], row_type, preserve_index=False)
-        found = list(partition_topk(iter([batch]), matrix, k, ids if exclude_same_id else None))
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        if not block.num_rows or not rows.num_rows:
+            return empty
+        matrix = np.array(block["query_vector"].to_pylist(), dtype=np.float64)
+        ids = block["query_id"].to_pylist()
+        batches = rows.select(columns).combine_chunks().to_batches()
+        found = list(partition_topk(iter(batches), matrix, k, ids if exclude_same_id else None))
         if not found:
-            return pd.DataFrame({c: [] for c in kept})
-        table = pa.Table.from_batches(found).to_pandas()
-        table["query_id"] = [ids[j] for j in table["_q"]]
-        return table[kept]
+            return empty
+        table = pa.Table.from_batches(found)
+        return table.set_column(0, "query_id", pa.array(ids, pa.string()).take(table["_q"].combine_chunks()))
 
-    right = right.withColumn("vector", F.col("vector").cast(value))
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, out)
+    keys = ("width", "qb", "vb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out)

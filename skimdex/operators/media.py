@@ -73,8 +73,8 @@ def exif_fields(tagged: DataFrame) -> DataFrame:
     def hemisphere(name: str, positive: str, negative: str):
         value = F.col(name)
         side = F.when(value >= 0, positive).otherwise(negative)
-        # plain decimals, no exponent and no trailing zeros
-        number = F.regexp_replace(F.abs(value).cast("decimal(20,16)").cast("string"), r"\.?0+$", "")
+        # plain decimals, no exponent and no trailing zeros; numbers too large for any angle give null
+        number = F.regexp_replace(F.abs(value).try_cast("decimal(20,16)").cast("string"), r"\.?0+$", "")
         return F.when(value.isNotNull(), F.concat(number, F.lit(" "), side))
 
     return tagged.withColumn("_t", tags).select(

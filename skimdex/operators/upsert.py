@@ -24,6 +24,8 @@ def upsert_vectors(target: DataFrame, updates: DataFrame, mode: str = "by_path")
     if mode not in ("by_path", "by_id"):
         raise ValueError(f"unknown mode {mode!r}")
     key = "file_path" if mode == "by_path" else "id"
+    if mode == "by_id":  # a row that is updated twice is written once
+        updates = latest(updates, ["id"], F.struct(*[c for c in updates.columns if c != "id"]))
     kept = target.join(updates.select(key).distinct(), key, "left_anti")
     return kept.select(*target.columns).unionByName(updates.select(*target.columns))
 

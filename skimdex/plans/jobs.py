@@ -22,10 +22,10 @@ from skimdex.operators.index_rows import (
     image_index_rows,
     text_index_rows,
 )
-from skimdex.operators.upsert import latest, written_gate
+from skimdex.operators.upsert import latest
 from skimdex.session import spread
 from skimdex.sources.files import read_text_docs
-from skimdex.sources.tables import BROADCAST_KEYS, IndexStore
+from skimdex.sources.tables import IndexStore
 
 PHASES = ("scanning", "comparing", "processing", "cleanup", "indexing", "optimizing")
 
@@ -113,22 +113,33 @@ def _process(run: IndexRun, todo: DataFrame, options: IndexOptions) -> None:
     embedded = embedded.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
     embedded.write.mode("overwrite").parquet(f"{run.path}/text")
     errors = failed_files(run.text_chunks)
-    if not plain:
+    if plain:  # a text table has nothing to read for other types; they are not indexed
+        others = todo.where(kind != "text").select("file_path", F.lit("no content for this file type").alias("error"))
+        errors = errors.unionByName(others)
+    else:
         pictures = embed_images(todo.where(kind == "image"), options.image_embedder)
         pictures.write.mode("overwrite").parquet(f"{run.path}/images")
         errors = errors.unionByName(failed_files(run.images))
     errors.write.mode("overwrite").parquet(f"{run.path}/errors")
 
 
-def _merge(
-    store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool, tag: str, replay: bool
-) -> None:
-    """Replace the rows of changed files and drop deleted ones; vectors first, metadata second.
+def _mark(store: IndexStore, run: IndexRun) -> str:
+    """Name of what a run is about to merge: which changes, on top of which metadata.
 
-    ``replay`` says that the tag may have been used before, by a run that died half-way.
+    A run that died between the two tables finds the same metadata and the same changes again and
+    goes on with the second table. Any other run has another mark, whatever its tag is.
     """
+    changes = run.diff.where("change_type <> 'unchanged'").join(run.errors.select("file_path"), "file_path", "left_anti")
+    total = F.sum(F.xxhash64(*run.diff.columns).cast("decimal(38,0)"))
+    row = changes.agg(F.count("*").alias("n"), total.alias("x")).head()
+    return f"{store.meta.state().gen}:{row.n}:{row.x}"
+
+
+def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool) -> None:
+    """Replace the rows of changed files and drop deleted ones; vectors first, metadata second."""
+    mark = _mark(store, run)
     bad = run.errors.select("file_path")
-    changed = incremental_files(run.diff).select("file_path", "new_hash")
+    changed = incremental_files(run.diff).select("file_path", "new_hash", "change_type")
     done = changed.join(bad, "file_path", "left_anti")
     deleted = run.diff.where(F.col("change_type") == "deleted").select("file_path")
 
@@ -137,21 +148,24 @@ def _merge(
         rows = rows.unionByName(image_index_rows(run.images.join(bad, "file_path", "left_anti")))
     live = store.vectors.read()
     if store.vectors.key == "file_path":
-        touched = done.select("file_path").unionByName(deleted)
-        replaced = touched.join(live.select("file_path").distinct(), "file_path", "left_semi")
+        replaced = done.where("change_type = 'modified'").select("file_path").unionByName(deleted)
+        if store.vectors.last_tag() != store.meta.last_tag():
+            # the last write reached one table only: new files may have rows already
+            fresh = done.where("change_type = 'new'").select("file_path")
+            replaced = replaced.unionByName(fresh.join(live.select("file_path").distinct(), "file_path", "left_semi"))
     else:
         rows = latest(rows, ["id"], F.col("file_path"))
         gone = live.join(deleted, "file_path", "left_semi").select("id")
         replaced = rows.select("id").unionByName(gone)
-    if not (replay and store.vectors.committed(tag)):
-        store.vectors.upsert(rows, replaced, tag)
+    if not store.vectors.committed(mark):
+        store.vectors.upsert(rows, replaced, mark)
 
     stamp = F.lit(options.now) if options.now else F.current_timestamp()
     entries = done.select(
         "file_path", F.col("new_hash").alias("file_hash"), stamp.alias("indexed_at")
     )
-    accepted = written_gate(entries, done)
-    store.meta.upsert(accepted, done.select("file_path").unionByName(deleted), tag)
+    old = done.where("change_type = 'modified'").select("file_path")
+    store.meta.upsert(entries, old.unionByName(deleted), mark)
 
 
 def incremental_index_job(
@@ -162,47 +176,51 @@ def incremental_index_job(
     ``files`` holds each path once: file_path, file_size, modified_at, file_hash and either
     ``content`` (bytes) or ``text``. Only changed files are chunked and embedded. A file
     with any error keeps its old rows and stays on the work list of the next run. Every step writes
-    its result before the next one starts, so a repeated run after a crash only repeats work.
+    its result before the next one starts, so a repeated run after a crash only repeats work. ``tag``
+    only names the run's folder; it may be used again.
     """
     options = options or IndexOptions()
-    replay, tag = bool(tag), tag or uuid.uuid4().hex
-    run = IndexRun(store.spark, f"{store.root}/runs/{tag}")
+    run = _new_run(store, tag)
     plain = "text" in files.columns
     seen = files.select("file_path", "modified_at", "file_hash").where(
         file_type(F.col("file_path")).isNotNull()
     )
     diff = snapshot_diff(seen, store.meta.read(), options.scope)
-    return _run(store, run, files, diff, options, plain, tag, replay)
+    return _run(store, run, files, diff, options, plain)
 
 
-def _run(store, run, files, diff, options, plain, tag, replay) -> IndexRun:
+def _new_run(store: IndexStore, tag: str) -> IndexRun:
+    name = uuid.uuid4().hex
+    return IndexRun(store.spark, f"{store.root}/runs/{tag}-{name}" if tag else f"{store.root}/runs/{name}")
+
+
+def _run(store, run, files, diff, options, plain) -> IndexRun:
     diff.write.mode("overwrite").parquet(f"{run.path}/diff")
+    busy = not run.diff.where("change_type <> 'unchanged'").isEmpty()
     todo = files.join(incremental_files(run.diff).select("file_path"), "file_path", "left_semi")
-    _process(run, todo, options)
-    _merge(store, run, options, plain, tag, replay)
+    _process(run, todo if busy else files.limit(0), options)
+    if busy:
+        _merge(store, run, options, plain)
     if options.cells:
         build_coarse_index(store.vectors.read(), f"{run.path}/coarse", options.cells)
-    if options.compact or store.vectors.state().n_gone > BROADCAST_KEYS:
+    if options.compact:
         store.optimize(options.target_files)
     return run
 
 
 def index_arrivals(
     store: IndexStore, files: DataFrame, options: IndexOptions | None = None, tag: str = ""
-) -> IndexRun | None:
+) -> IndexRun:
     """Like ``incremental_index_job`` for a batch of arrived files: nothing counts as deleted.
 
-    A batch that was already committed under ``tag`` is skipped, so a replay changes nothing.
+    A batch that is in the index already is unchanged against it, so a replay writes nothing.
     """
     options = options or IndexOptions()
-    replay, tag = bool(tag), tag or uuid.uuid4().hex
-    if replay and store.meta.committed(tag):
-        return None
-    run = IndexRun(store.spark, f"{store.root}/runs/{tag}")
+    run = _new_run(store, tag)
     newest = latest(files, ["file_path"], F.struct("modified_at", "file_hash"))
     seen = newest.select("file_path", "modified_at", "file_hash").where(
         file_type(F.col("file_path")).isNotNull()
     )
     known = store.meta.read().join(seen.select("file_path"), "file_path", "left_semi")
     diff = snapshot_diff(seen, known)
-    return _run(store, run, newest, diff, options, "text" in files.columns, tag, replay)
+    return _run(store, run, newest, diff, options, "text" in files.columns)

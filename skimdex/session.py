@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def path_is_missing(problem: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there; any other failure must not read as empty."""
+    return problem.getCondition() == "PATH_NOT_FOUND"
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """A frame of ``schema`` without rows."""
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.paths import IMAGE_EXTENSIONS, TEXT_EXTENSIONS, content_hash, file_type
-from skimdex.session import empty
+from skimdex.session import empty, path_is_missing
 
 #: columns of Spark's ``binaryFile`` source
 BINARY_FILE = T.StructType(
@@ -43,21 +43,23 @@ def load_files(
     """Files under the folders: file_path, file_size, modified_at, content.
 
     The extension test runs while listing, so other files are never opened; ``content`` is only
-    read by queries that use it. Missing folders and files that vanish are skipped, and so are empty
-    files and names starting with ``_`` or ``.``, which Spark's file sources never list.
+    read by queries that use it. Missing folders and files that vanish are skipped; a file that cannot
+    be read fails the scan, so it never looks deleted. Spark's file sources never list empty files and
+    names starting with ``_`` or ``.``.
     """
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _glob(extensions))
         .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
     )
     found = None
     for root in _outer_roots(folders):
         try:
             part = reader.load(root)
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not path_is_missing(problem):
+                raise
             continue
         found = part if found is None else found.unionByName(part)
     if found is None:

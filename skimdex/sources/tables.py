@@ -14,12 +14,10 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skimdex.operators.upsert import latest
 from skimdex.operators.maintain import RETENTION_HOURS, prune_versions
 from skimdex.schemas import META, VECTORS
-from skimdex.session import empty
-
-#: replaced keys up to this number are shipped to every reader; a build compacts beyond it
-BROADCAST_KEYS = 2_000_000
+from skimdex.session import empty, path_is_missing
 
 LOG = T.StructType(
     [
@@ -47,7 +45,9 @@ class IndexTable:
     def log(self) -> DataFrame:
         try:
             return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not path_is_missing(problem):
+                raise
             return empty(self.spark, LOG)
 
     def state(self) -> Row:
@@ -56,6 +56,11 @@ class IndexTable:
         found = self.log().agg(newest).select("s.*").head()
         return Row(gen=0, base=0, n_gone=0) if found.gen is None else found
 
+    def last_tag(self) -> str:
+        """Tag of the newest write, empty if nothing was written."""
+        found = self.log().agg(F.max_by("tag", "gen")).head()[0]
+        return found or ""
+
     def committed(self, tag: str) -> bool:
         return self.log().where(F.col("tag") == tag).limit(1).count() > 0
 
@@ -81,15 +86,17 @@ class IndexTable:
         with_gen = T.StructType([*schema.fields, T.StructField("gen", T.LongType())])
         try:
             rows = self.spark.read.schema(with_gen).parquet(f"{self.root}/{kind}")
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not path_is_missing(problem):
+                raise
             return empty(self.spark, with_gen)
         return rows.where(F.col("gen").between(low, high))
 
     def read(self) -> DataFrame:
         """Live rows; an index that was never written reads as empty.
 
-        Keys replaced since the last compaction travel to the scan while their number, which the
-        log knows, is small; beyond that the join is left to Spark.
+        Keys replaced since the last compaction are anti-joined; statistics decide whether they travel
+        to the scan.
         """
         now = self.state()
         rows = self._generations("rows", self.schema, now.base, now.gen)
@@ -98,8 +105,6 @@ class IndexTable:
         gone_key = T.StructType([self.schema[self.key]])
         gone = self._generations("gone", gone_key, now.base + 1, now.gen)
         last = gone.groupBy(self.key).agg(F.max("gen").alias("gone_gen"))
-        if now.n_gone <= BROADCAST_KEYS:
-            last = F.broadcast(last)
         later = (rows[self.key] == last[self.key]) & (rows["gen"] < last["gone_gen"])
         return rows.join(last, later, "left_anti").drop("gen")
 
@@ -146,15 +151,19 @@ class IndexTable:
     def upsert(self, updates: DataFrame, replaced: DataFrame | None = None, tag: str = "") -> int:
         """Insert rows and replace what their keys held before. Empty input changes nothing.
 
-        ``updates`` must hold each row once (see ``operators.upsert.latest``). Pass ``replaced`` when
-        the caller already knows the keys, which also covers keys that have no rows any more.
+        Where the key names single rows (``id``, or the path of a metadata row), of several updates
+        with one key only the last in column order is written. Pass ``replaced`` when the caller already
+        knows the keys, which also covers keys that have no rows any more.
         """
         now = self.state()
+        if self.key == self.schema.names[0]:
+            rest = [F.col(c) for c in self.schema.names if c != self.key]
+            updates = latest(updates.select(*self.schema.names), [self.key], F.struct(*rest))
         staged = self._write("rows", now.gen + 1, updates, self.schema)
+        written = self.spark.read.schema(self.schema).parquet(staged)
+        if (replaced is None or replaced.isEmpty()) and written.isEmpty():
+            return now.gen
         if replaced is None:
-            written = self.spark.read.schema(self.schema).parquet(staged)
-            if written.isEmpty():
-                return now.gen
             replaced = written.select(self.key)
         return self._commit(now, replaced, "upsert", tag)
 
@@ -177,8 +186,8 @@ class IndexTable:
         """
         now = self.state()
         live = self.read()
-        narrow = [f.name for f in self.schema if f.name not in ("vector", "metadata")]
-        checks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*narrow)).alias("x")]
+        total = F.sum(F.xxhash64(*self.schema.names).cast("decimal(38,0)"))
+        checks = [F.count(F.lit(1)).alias("n"), total.alias("x")]
         before = live.agg(*checks).head()
         if target_files:
             live = live.repartitionByRange(target_files, self.key, self.schema.names[0])

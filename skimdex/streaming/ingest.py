@@ -19,8 +19,9 @@ def incremental_index_stream(
 ) -> StreamingQuery:
     """Start a stream that upserts every micro-batch of ``files`` into the index.
 
-    ``files`` is a streaming frame with the columns of ``incremental_index_job``. Batches are
-    committed under their number, so a restart from the checkpoint neither loses nor repeats one.
+    ``files`` is a streaming frame with the columns of ``incremental_index_job``. A batch is
+    compared with the index before it is merged, so a replayed batch writes nothing and streams that
+    number their batches alike do not get in each other's way.
     Deletions are invisible to a stream and stay with the batch job.
     """
 

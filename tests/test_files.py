@@ -147,3 +147,9 @@ def test_expired_artifacts(spark):
 def test_png_helper_is_a_png():
     data = _png(3, 2)
     assert struct.unpack(">II", data[16:24]) == (3, 2) and zlib.crc32(data[12:29]) == struct.unpack(">I", data[29:33])[0]
+
+
+def test_odd_coordinates_do_not_stop_the_job(spark):
+    rows = [("a", '{"GPSLatitude": 12345.6, "GPSLongitude": -7.5}'), ("b", '{"GPSLatitude": 1e300}')]
+    got = media.exif_fields(spark.createDataFrame(rows, "file_path string, tags string")).orderBy("file_path").collect()
+    assert [(r.gps_latitude, r.gps_longitude) for r in got] == [(None, "7.5 W"), (None, None)]

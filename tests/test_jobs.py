@@ -187,3 +187,56 @@ def test_search_input_errors(spark, folder):
         with pytest.raises(ValueError):
             search(vectors, kind, **args)
     assert search(vectors, "text", text="anything").collect() == []
+
+
+def text_table(spark, *rows):
+    frame = spark.createDataFrame(list(rows), "file_path string, text string")
+    return frame.selectExpr("file_path", "cast(length(text) AS bigint) AS file_size", "1L AS modified_at", "sha2(text, 256) AS file_hash", "text")
+
+
+def test_a_tag_may_be_used_again(spark, folder):
+    store = IndexStore(spark, f"{folder}/index")
+    incremental_index_job(store, text_table(spark, ("a.txt", "one")), OPTIONS, tag="nightly")
+    incremental_index_job(store, text_table(spark, ("a.txt", "two words"), ("b.txt", "more")), OPTIONS, tag="nightly")
+    incremental_index_job(store, text_table(spark, ("a.txt", "one"), ("b.txt", "more")), OPTIONS, tag="nightly")
+    incremental_index_job(store, text_table(spark, ("a.txt", "two words"), ("b.txt", "more")), OPTIONS, tag="nightly")
+    texts = {r.file_path: r.metadata for r in store.vectors.read().collect()}
+    assert set(texts) == {"a.txt", "b.txt"} and "twowords" in texts["a.txt"]
+    assert indexed(store) == ["a.txt", "b.txt"]
+
+
+def test_two_streams_feed_one_store(spark, folder):
+    store = IndexStore(spark, f"{folder}/index")
+    for n in range(2):
+        text_table(spark, (f"s{n}.txt", f"text of stream {n}")).write.parquet(f"{folder}/in{n}")
+        incremental_index_stream(store, text_stream(spark, f"{folder}/in{n}"), f"{folder}/cp{n}", OPTIONS).awaitTermination()
+    assert contents(store) == [("s0.txt", 0), ("s1.txt", 0)] and indexed(store) == ["s0.txt", "s1.txt"]
+
+
+def test_only_processed_files_count_as_indexed(spark, folder):
+    store = IndexStore(spark, f"{folder}/index")
+    run = incremental_index_job(store, text_table(spark, ("a.txt", "one"), ("pic.png", "not a text")), OPTIONS)
+    assert indexed(store) == ["a.txt"]
+    assert [tuple(r) for r in run.errors.collect()] == [("pic.png", "no content for this file type")]
+
+
+def test_runs_without_changes_commit_nothing(spark, folder):
+    store = IndexStore(spark, f"{folder}/index")
+    files = text_table(spark, *[(f"f{i}.txt", f"text {i}") for i in range(20)])
+    incremental_index_job(store, files, OPTIONS)
+    incremental_index_job(store, files.limit(0).unionByName(text_table(spark, ("g.txt", "new"))), IndexOptions(chunk_size=100, chunk_overlap=10, scope="g"))
+    assert store.meta.state().n_gone == 0 and store.vectors.state().n_gone == 0
+    before = store.meta.state().gen, store.vectors.state().gen
+    incremental_index_job(store, files.unionByName(text_table(spark, ("g.txt", "new"))), OPTIONS)
+    assert (store.meta.state().gen, store.vectors.state().gen) == before
+
+
+def test_a_run_that_died_between_the_tables_goes_on(spark, folder, monkeypatch):
+    store = IndexStore(spark, f"{folder}/index")
+    first = text_table(spark, ("ok.txt", "fine"), ("sick.txt", "poison"))
+    with monkeypatch.context() as patch:
+        patch.setattr(store.meta, "upsert", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            incremental_index_job(store, first, IndexOptions(picky(), chunk_size=100, chunk_overlap=10))
+    incremental_index_job(store, first, OPTIONS)
+    assert contents(store) == [("ok.txt", 0), ("sick.txt", 0)] and indexed(store) == ["ok.txt", "sick.txt"]

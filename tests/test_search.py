@@ -150,3 +150,21 @@ def test_lsh_finds_the_vector_itself(spark, cloud):
 
 def test_vector_schema_names():
     assert VECTORS.names == ["id", "file_path", "chunk_index", "file_type", "vector", "metadata"]
+
+
+def test_neighbours_do_not_depend_on_the_plan(spark):
+    from skimdex.operators.knn import knn_join
+
+    vectors = spark.createDataFrame(
+        [(f"v{i}", f"f{i}", [float(i % 7) + 0.1, float(i % 5), 1.0 / (i + 1)]) for i in range(60)] + [("w", "w", [1.0, 2.0]), ("n", "n", None)],
+        "id string, file_path string, vector array<double>",
+    )
+    asked = [("null", None), ("short", [1.0, 1.0]), ("none", []), ("q1", [1.0, 2.0, 0.5]), ("zero", [0.0, 0.0, 0.0]), ("q2", [3.0, 1.0, 0.1])]
+    answers = []
+    for order in (asked, asked[::-1]):
+        queries = spark.createDataFrame(order, "query_id string, vector array<double>")
+        for most in (1, 1 << 26):
+            found = knn_join(queries, vectors, 4, broadcast_bytes=most).collect()
+            answers.append(sorted((r.query_id, r["rank"], r.id, round(r.distance, 12)) for r in found))
+    assert all(a == answers[0] for a in answers)
+    assert {a[0] for a in answers[0]} == {"short", "q1", "q2"} and len(answers[0]) == 1 + 4 + 4

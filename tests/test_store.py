@@ -124,3 +124,12 @@ def test_metadata_table_is_keyed_by_path(spark, folder):
     meta.upsert(one)
     meta.upsert(one.withColumn("file_hash", F.lit("h2")))
     assert [r.file_hash for r in meta.read().collect()] == ["h2"]
+
+
+def test_one_upsert_writes_a_key_once(spark, folder):
+    table = IndexStore(spark, folder, vector_key="id").vectors
+    table.upsert(rows(spark, ("a", 0, 1), ("a", 0, 7)))
+    assert content(table) == [("a", 0, 7.0)]
+    both = upsert_vectors(rows(spark, ("a", 0, 1)), rows(spark, ("a", 0, 2), ("a", 0, 3)), "by_id")
+    assert [r.vector[0] for r in both.collect()] == [3.0]
+
