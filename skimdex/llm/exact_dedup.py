@@ -86,7 +86,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     entries = stored(state.entries(), "dedup-entries")
 
     hits = entries.where("n > 1").select("digest")
-    flagged = rows.join(hits, "digest", "left_semi").select("doc_id", "digest").distinct()
+    flagged = rows.join(hits, "digest", "left_semi").select("doc_id", "digest")
+    flagged = flagged.repartition("doc_id", "digest").distinct()  # else a hot digest would stay in one task
     named = flagged.where("doc_id IS NOT NULL")
     texts = docs.select("doc_id", "text").join(named, "doc_id")
     if flagged.where("doc_id IS NULL").limit(1).count():
