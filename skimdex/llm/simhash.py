@@ -178,7 +178,8 @@ def components(prints: DataFrame) -> DataFrame:
     label = named.join(linked, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")
     )
-    return prints.join(label, "fp", "left")
+    # a written table on either side lets a hot fingerprint's rows be split over tasks
+    return prints.join(stored(label, "fp-labels"), "fp", "left")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
