@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -16,14 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.vectors import cosine_similarity, dot
-from skimdex.operators.knn import BROADCAST_BYTES, _named, _ranked, small_matrix
-from skimdex.operators.scoring import (
-    BLOCK_CELLS,
-    COSINE_DECIMALS,
-    partition_topk,
-    unit_rows,
-    usable_slices,
-)
+from skimdex.operators.knn import BROADCAST_BYTES, GRID_BYTES, _ranked, blocked_topk, knn_join
+from skimdex.operators.scoring import BLOCK_CELLS, COSINE_DECIMALS, unit_rows, usable_slices
 from skimdex.operators.search import search_topk
 
 CENTROIDS = T.StructType(
@@ -35,14 +27,19 @@ def _usable(vector: Column) -> Column:
     return dot(vector, vector) > 0.0
 
 
-def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cell numbers and unit centroids, in cell order. Centroids are small by design: checked."""
-    small = small_matrix(centroids, "cell", "centroid", BROADCAST_BYTES)
-    if small is None:
-        raise ValueError(f"centroids exceed {BROADCAST_BYTES} bytes; use fewer cells")
-    cells = np.asarray(small[0], dtype=np.int64)
-    order = np.argsort(cells)
-    return cells[order], unit_rows(small[1][order])
+def _as_rows(centroids: DataFrame) -> DataFrame:
+    """Centroids in the shape of a vector table; ids sort like cell numbers."""
+    return centroids.select(F.lpad(F.col("cell").cast("string"), 10, "0").alias("id"), F.col("centroid").alias("vector"))
+
+
+def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Cell numbers and unit centroids, in cell order; None if they exceed what may be shipped."""
+    room = centroids.agg(F.sum(F.size("centroid").cast("long") * 8)).head()[0] or 0
+    if room > BROADCAST_BYTES:
+        return None
+    table = centroids.select("cell", "centroid").orderBy("cell").toPandas()
+    rows = np.array([np.asarray(v, dtype=np.float64) for v in table["centroid"]])
+    return table["cell"].to_numpy(dtype=np.int64), unit_rows(rows)
 
 
 def train_centroids(
@@ -61,9 +58,13 @@ def train_centroids(
 def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """Add ``cell``, the centroid with the highest cosine (lowest number on ties).
 
-    Rows without a usable vector get cell -1: they are kept, and no search probes them.
+    Rows without a usable vector get cell -1: they are kept, and no search probes them. Centroids
+    too large to be shipped meet the rows block by block; rows are then told apart by id and path.
     """
-    cells, unit = _centroid_matrix(centroids)
+    found = _centroid_matrix(centroids)
+    if found is None:
+        return _assign_by_blocks(vectors, centroids)
+    cells, unit = found
     dim = unit.shape[1]
 
     def nearest(vectors: pa.Array) -> pa.Array:
@@ -80,6 +81,15 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return vectors.withColumn("cell", F.arrow_udf(nearest, T.IntegerType())(F.col("vector")))
 
 
+def _assign_by_blocks(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    name = F.concat_ws("\0", *[c for c in ("id", "file_path") if c in vectors.columns])
+    asked = vectors.select(name.alias("query_id"), "vector")
+    near = _ranked(blocked_topk(asked, _as_rows(centroids), 1, [], False), 1)
+    near = near.select(F.col("query_id").alias("_name"), F.col("id").cast("int").alias("cell"))
+    rows = vectors.withColumn("_name", name).join(near, "_name", "left").drop("_name")
+    return rows.withColumn("cell", F.coalesce("cell", F.lit(-1)))
+
+
 def build_coarse_index(
     vectors: DataFrame, path: str, cells: int | None = None, centroids: DataFrame | None = None, **train
 ) -> None:
@@ -102,10 +112,9 @@ def load_coarse_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def probe_cells(centroids: DataFrame, query: list[float], nprobe: int) -> list[int]:
-    """The ``nprobe`` cells nearest to a query."""
-    cells, unit = _centroid_matrix(centroids)
-    cosines = np.round(unit @ unit_rows(np.asarray(query, dtype=np.float64)[None, :])[0], COSINE_DECIMALS)
-    return cells[np.lexsort((cells, -np.nan_to_num(cosines, nan=-2.0)))[:nprobe]].tolist()
+    """The ``nprobe`` cells nearest to a query; only those reach the driver."""
+    near = search_topk(_as_rows(centroids).withColumn("file_path", F.lit("")), query, nprobe)
+    return [int(r.id) for r in near.select("id").collect()]
 
 
 def probed(
@@ -129,64 +138,36 @@ def knn_ann(
     k: int,
     nprobe: int,
     exclude_same_id: bool = False,
-    block_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = GRID_BYTES,
 ) -> DataFrame:
-    """Approximate top-k for a table of queries: a row is scored only by queries probing its cell.
+    """Approximate top-k for a table of queries with distinct ids: a row is scored only by queries
+    probing its cell.
 
-    Queries are answered in blocks of bounded size, one pass over the probed cells per block.
+    Queries find their cells by a join with the centroids and then meet the rows of each cell block
+    by block; neither queries nor centroids pass through the driver whole, and a hot cell is cut up.
     """
-    cells, unit = _centroid_matrix(centroids)
-    keyed = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
-    n_blocks = max(1, -(-keyed.count() * unit.shape[1] * 8 * 2 // block_bytes))
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    out = None
-    for b in range(n_blocks):
-        small = small_matrix(keyed.where(block_of == b), "query_id", "vector", block_bytes)
-        if small is None:
-            raise ValueError("query ids are not unique")
-        if not small[0]:
-            continue
-        part = _probe_block(indexed, small, (cells, unit), k, nprobe, exclude_same_id)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        small = ([], np.zeros((0, unit.shape[1])))
-        out = _probe_block(indexed, small, (cells, unit), k, nprobe, exclude_same_id)
-    return _ranked(out, k)
-
-
-def _probe_block(indexed, small, centroids, k, nprobe, exclude_same_id) -> DataFrame:
-    query_ids, rows = small
-    cells, unit = centroids
-    cosines = np.round(unit_rows(rows) @ unit.T, COSINE_DECIMALS)
-    nearest = np.argsort(-np.nan_to_num(cosines, nan=-2.0), axis=1, kind="stable")[:, :nprobe]
-    probes = {int(cells[c]): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
-    source = indexed.where(F.col("cell").isin(sorted(probes)))
-    source = source.select(*[c for c in ("id", "file_path") if c in indexed.columns], "vector", "cell")
-    shipped = indexed.sparkSession.sparkContext.broadcast((query_ids, rows, probes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, wanted = shipped.value
-        name = pa.array(ids, pa.string())
-        own = ids if exclude_same_id else None
-        for found in partition_topk(batches, matrix, k, own, wanted):
-            yield pa.RecordBatch.from_arrays(
-                [name.take(found.column("_q")), *found.columns[1:]],
-                ["query_id", *found.schema.names[1:]],
-            )
-
-    return source.mapInArrow(run, _named(source))
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where(F.size("vector") > 0)
+    probes = knn_join(asked, _as_rows(centroids), nprobe).select("query_id", F.col("id").cast("int").alias("cell"))
+    source = indexed.select(*[c for c in ("id", "file_path") if c in indexed.columns], "vector", F.col("cell").cast("int").alias("cell"))
+    return _ranked(blocked_topk(asked.join(probes, "query_id"), source, k, ["cell"], exclude_same_id, block_bytes), k)
 
 
 def dimension_ranges(vectors: DataFrame) -> DataFrame:
-    """One row with the smallest and largest value per dimension: ``low``, ``high``."""
+    """One row with the smallest and largest value per dimension: ``low``, ``high``.
+
+    A table of several widths is described by its commonest one (the smallest of equally common).
+    """
     stats = Summarizer.metrics("min", "max").summary(array_to_vector("vector")).alias("s")
-    return vectors.where(F.col("vector").isNotNull()).agg(stats).select(
-        vector_to_array("s.min").alias("low"), vector_to_array("s.max").alias("high")
-    )
+    widths = vectors.where(F.size("vector") > 0).groupBy(F.size("vector").alias("width"))
+    common = widths.agg(F.count("*").alias("n"), stats).orderBy(F.desc("n"), "width").limit(1)
+    return common.select(vector_to_array("s.min").alias("low"), vector_to_array("s.max").alias("high"))
 
 
 def quantize_sq8(vectors: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """Replace ``vector`` by ``code``: one byte per dimension, scaled to that dimension's range."""
+    """Replace ``vector`` by ``code``: one byte per dimension, scaled to that dimension's range.
+
+    Rows of another width than the ranges have no code.
+    """
     bounds = (dimension_ranges(vectors) if ranges is None else ranges).head()
     if bounds is None or bounds.low is None:
         return vectors.select(
@@ -213,7 +194,11 @@ def lsh_neighbors(
     """Approximate neighbours by random projections of unit vectors, reranked by exact cosine."""
     length = F.sqrt(dot(F.col("vector"), F.col("vector")))
     unit = F.transform("vector", lambda x: x.cast("double") / length)
-    rows = vectors.where(_usable(F.col("vector"))).withColumn("features", array_to_vector(unit))
+    rows = vectors.where(F.size("vector") == len(query)).where(_usable(F.col("vector")))
+    # the optimizer may hash rows ahead of these filters, so every row has features of the right width
+    blank = F.array_repeat(F.lit(0.0), len(query))
+    fits = (F.size("vector") == len(query)) & _usable(F.col("vector"))
+    rows = rows.withColumn("features", array_to_vector(F.when(fits, unit).otherwise(blank)))
     lsh = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
     )

@@ -18,26 +18,10 @@ from skimdex.operators.scoring import COSINE_DECIMALS, partition_topk, payload_s
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: partial results of a query are merged in so many branches first
 MERGE_BRANCHES = 64
-#: rows per side of a grid block, which bounds what one task holds
-GRID_ROWS = 50_000
-
-
-def small_matrix(
-    df: DataFrame, key: str, value: str, max_bytes: int
-) -> tuple[list, np.ndarray] | None:
-    """Keys and vectors of ``df`` if they fit in ``max_bytes``, else None.
-
-    Reads at most one row more than the bound allows, so the driver never holds more than that.
-    """
-    first = df.select(F.size(value).alias("n")).where(F.col(value).isNotNull()).head()
-    if first is None or first.n <= 0:
-        return [], np.zeros((0, 1))
-    rows = max(1, max_bytes // (first.n * 8))
-    table = df.where(F.size(value) == first.n).select(key, value).limit(rows + 1).toPandas()
-    if len(table) > rows:
-        return None
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in table[value]])
-    return table[key].tolist(), matrix.reshape(-1, first.n)
+#: result rows (queries x k) that one task may hold
+RESULT_ROWS = 1_000_000
+#: bytes of the vectors on each side of a block pair, which bounds what one task holds
+GRID_BYTES = 128 * 1024 * 1024
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -63,10 +47,11 @@ def knn_join(
     k: int,
     exclude_same_id: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = GRID_BYTES,
 ) -> DataFrame:
     """Exact top-``k`` rows of ``vectors`` for every row of ``queries`` (query_id, vector).
 
-    While the query matrix is small, one pass over ``vectors`` answers all queries and only
+    While queries and results are small, one pass over ``vectors`` answers all queries and only
     ``k`` rows per query and task are shuffled. Otherwise both sides are cut into blocks and every
     block pair keeps its own top-k, so memory stays bounded for any number of queries. In both plans a
     query meets the vectors of its own width; queries without a usable vector have no neighbours.
@@ -74,8 +59,9 @@ def knn_join(
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where(F.size("vector") > 0)
     source = vectors.select(*[c for c in ("id", "file_path") if c in vectors.columns], "vector")
     widths = {r.width: r.n for r in queries.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect()}
-    if sum(w * n * 8 for w, n in widths.items()) > broadcast_bytes:
-        return _ranked(_grid(queries, source, k, exclude_same_id), k)
+    too_wide = sum(w * n * 8 for w, n in widths.items()) > broadcast_bytes
+    if too_wide or sum(widths.values()) * k > RESULT_ROWS:
+        return _ranked(blocked_topk(queries, source, k, [], exclude_same_id, block_bytes), k)
     found = None
     for width in sorted(widths) or [1]:
         part = _broadcast_pass(queries.where(F.size("vector") == width), source, k, exclude_same_id)
@@ -108,25 +94,32 @@ def _named(source: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("query_id", T.StringType()), *fields])
 
 
-def _grid(queries: DataFrame, source: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
-    """Top-k per block pair. Blocks are drawn by hashing unique keys (equal images share an id, but
-    not a path), so copies spread evenly."""
-    unique = [c for c in source.columns if c != "vector"]
-    q_blocks = max(1, -(-queries.count() // GRID_ROWS))
-    v_blocks = max(1, -(-source.count() // GRID_ROWS))
-    left = queries.select(
-        "query_id",
-        F.col("vector").alias("query_vector"),
-        F.size("vector").alias("width"),
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.expr(f"explode(sequence(0L, {v_blocks - 1}L))").alias("vb"),
+def blocked_topk(
+    queries: DataFrame, source: DataFrame, k: int, on: list[str], exclude_same_id: bool, block_bytes: int = GRID_BYTES
+) -> DataFrame:
+    """Top-k per pair of blocks, of the queries and rows that agree in width and the columns ``on``.
+
+    Every group of equal width and ``on`` is cut by its own size, so a group that owns much of the
+    table is spread over many tasks. Blocks are drawn by hashing unique keys (equal images share an
+    id, but not a path), so copies spread evenly. ``source`` is copied once per query block.
+    """
+    keys = ["width", *on]
+    unique = [c for c in source.columns if c not in ("vector", *on)]
+    left = queries.select("query_id", F.col("vector").alias("query_vector"), F.size("vector").alias("width"), *on)
+    right = source.withColumn("width", F.size("vector")).where("width > 0")
+    room = F.greatest(F.lit(1), F.lit(block_bytes) / (F.col("width") * 8))
+    most = F.greatest(F.lit(1), F.least(room, F.lit(RESULT_ROWS / k)))  # queries of a block, each with k rows
+    asked = left.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.ceil(F.col("n") / most).alias("q_blocks"))
+    held = right.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.ceil(F.col("n") / room).alias("v_blocks"))
+    sizes = asked.join(held, keys)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(sizes, keys).select(
+        "query_id", "query_vector", *keys, F.pmod(F.xxhash64("query_id"), "q_blocks").alias("qb"), each("v_blocks").alias("vb")
     )
-    right = source.select(
-        *source.columns,
-        F.size("vector").alias("width"),
-        F.pmod(F.xxhash64(*unique), F.lit(v_blocks)).alias("vb"),
-        F.expr(f"explode(sequence(0L, {q_blocks - 1}L))").alias("qb"),
+    right = right.join(sizes, keys).select(
+        *unique, "vector", *keys, F.pmod(F.xxhash64(*unique), "v_blocks").alias("vb"), each("q_blocks").alias("qb")
     )
+    source = source.drop(*on)
     out = _named(source)
     empty = to_arrow_schema(out).empty_table()
     columns = list(source.columns)
@@ -143,5 +136,5 @@ def _grid(queries: DataFrame, source: DataFrame, k: int, exclude_same_id: bool)
         table = pa.Table.from_batches(found)
         return table.set_column(0, "query_id", pa.array(ids, pa.string()).take(table["_q"].combine_chunks()))
 
-    keys = ("width", "qb", "vb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out)
+    pair = [*keys, "qb", "vb"]
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(run, out)

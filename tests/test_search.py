@@ -99,10 +99,11 @@ def test_knn_join_paths_agree_with_brute_force(spark, cloud, monkeypatch):
     vectors = make(spark, cloud)
     queries = vectors.select(F.col("id").alias("query_id"), "vector")
     shipped = knn.knn_join(queries, vectors, 6, exclude_same_id=True)
-    monkeypatch.setattr(knn, "GRID_ROWS", 25)
-    grid = knn.knn_join(queries, vectors, 6, exclude_same_id=True, broadcast_bytes=8 * 8 * 10)
+    grid = knn.knn_join(queries, vectors, 6, exclude_same_id=True, broadcast_bytes=8 * 8 * 10, block_bytes=8 * 8 * 25)
+    monkeypatch.setattr(knn, "RESULT_ROWS", 60)
+    many = knn.knn_join(queries, vectors, 6, exclude_same_id=True)
     table = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
-    assert table(shipped) == table(grid)
+    assert table(shipped) == table(grid) == table(many)
     for i in (0, 17, 61):
         mine = [t[2] for t in table(shipped) if t[0] == f"v{i:03d}"]
         want = [x for x in brute(cloud, cloud[i], len(cloud)) if x != f"v{i:03d}"][:6]
@@ -120,7 +121,7 @@ def test_probing_all_cells_is_exact(spark, cloud, folder):
     queries = vectors.where("id < 'v030'").select(F.col("id").alias("query_id"), "vector")
     truth = knn.knn_join(queries, vectors, 5)
     # small blocks force several passes
-    near = ann.knn_ann(queries, cells, centroids, 5, nprobe=4, block_bytes=8 * 8 * 40)
+    near = ann.knn_ann(queries, cells, centroids, 5, nprobe=4, block_bytes=8 * 8 * 7)
     assert {r.recall for r in ann.ann_recall(near, truth, 5).collect()} == {1.0}
     few = ann.ann_recall(ann.knn_ann(queries, cells, centroids, 5, nprobe=1), truth, 5)
     assert all(0.0 <= r.recall <= 1.0 for r in few.collect())
@@ -133,6 +134,21 @@ def test_probing_prunes_cells_from_the_scan(spark, cloud, folder):
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
 
 
+def test_centroids_too_large_to_ship_assign_alike(spark, cloud, folder, monkeypatch):
+    vectors = make(spark, [*cloud, None, [0.0] * 8])
+    centroids = ann.train_centroids(vectors, 4, iterations=5)
+    shipped = sorted((r.id, r.cell) for r in ann.assign_cells(vectors, centroids).collect())
+    monkeypatch.setattr(ann, "BROADCAST_BYTES", 1)
+    assert sorted((r.id, r.cell) for r in ann.assign_cells(vectors, centroids).collect()) == shipped
+
+
+def test_rows_of_another_width_are_left_out(spark, cloud):
+    mixed = make(spark, [*cloud, [1.0, 2.0], None])
+    codes = {r.id: r.code for r in ann.quantize_sq8(mixed).collect()}
+    assert sum(c is None for c in codes.values()) == 2 and len(codes) == len(cloud) + 2
+    assert len(ann.lsh_neighbors(mixed, cloud[5], 3).collect()) == 3
+
+
 def test_quantization_keeps_order_within_a_step(spark, cloud):
     vectors = make(spark, cloud)
     coded = {r.id: np.frombuffer(r.code, dtype=np.uint8) for r in ann.quantize_sq8(vectors).collect()}
