@@ -15,6 +15,8 @@ DEFAULT_LIMIT = 50
 PREVIEW_CHARS = 200
 # --- end of fixed values ---
 
+#: hits of a page that may pass through the driver
+PAGE_ROWS = 1000
 #: columns a hit carries next to its score; everything else is fetched for the winners only
 HIT_COLUMNS = ("id", "file_path", "chunk_index")
 
@@ -96,10 +98,14 @@ def search_files(
 def with_payload(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add each hit's metadata, keeping the order.
 
-    A page's limit bounds the optimizer's size estimate, so an ordinary page is shipped to a scan of
-    the narrow columns and a very long one is joined by a shuffle.
+    An ordinary page is brought back first, which runs the search once, and its paths become a filter
+    of the payload scan; more than ``PAGE_ROWS`` hits are joined without one. The rows are the same.
     """
     rest = vectors.select("id", "file_path", "metadata")
+    page = hits.limit(PAGE_ROWS + 1).collect()
+    if len(page) <= PAGE_ROWS:
+        hits = hits.sparkSession.createDataFrame(page, hits.schema)
+        rest = rest.where(F.col("file_path").isin(sorted({r.file_path for r in page if r.file_path is not None})))
     return hits.join(rest, ["id", "file_path"]).orderBy(*nearest_first())
 
 

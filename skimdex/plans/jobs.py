@@ -14,7 +14,7 @@ from skimdex.functions.paths import file_type
 from skimdex.functions.text import CHUNK_OVERLAP, CHUNK_SIZE
 from skimdex.operators.ann import build_coarse_index, load_coarse_index
 from skimdex.operators.chunk import chunk_documents
-from skimdex.operators.diff import incremental_files, index_summary, snapshot_diff
+from skimdex.operators.diff import incremental_files, index_summary, indexed_files_report, snapshot_diff
 from skimdex.operators.index_rows import (
     embed_images,
     embed_texts,
@@ -76,6 +76,11 @@ class IndexRun:
     def summary(self) -> DataFrame:
         return index_summary(self.diff, self.errors)
 
+    def report(self, files: DataFrame, per: str = "file") -> DataFrame:
+        """Processed text files with size, time and hash and their chunks; failed files are left out."""
+        chunks = self.text_chunks.join(self.errors.select("file_path"), "file_path", "left_anti")
+        return indexed_files_report(chunks, files, per)
+
     def progress(self) -> DataFrame:
         """Job events of the finished run, one row per phase."""
         counts = self.summary()
@@ -194,11 +199,31 @@ def _new_run(store: IndexStore, tag: str) -> IndexRun:
     return IndexRun(store.spark, f"{store.root}/runs/{tag}-{name}" if tag else f"{store.root}/runs/{name}")
 
 
+def _work_list(files: DataFrame, diff: DataFrame, same: int, changed: int) -> DataFrame:
+    """Rows of ``files`` to process, bodies included.
+
+    A first build takes all rows without a join; otherwise the shorter list of paths, changed or
+    unchanged, meets the files, so that it rather than the bodies travels wherever one of them is short.
+    """
+    files = files.where(file_type(F.col("file_path")).isNotNull())
+    if not changed:
+        return files.limit(0)
+    if not same:
+        return files
+    if same < changed:
+        return files.join(diff.where("change_type = 'unchanged'").select("file_path"), "file_path", "left_anti")
+    return files.join(incremental_files(diff).select("file_path"), "file_path", "left_semi")
+
+
 def _run(store, run, files, diff, options, plain) -> IndexRun:
     diff.write.mode("overwrite").parquet(f"{run.path}/diff")
-    busy = not run.diff.where("change_type <> 'unchanged'").isEmpty()
-    todo = files.join(incremental_files(run.diff).select("file_path"), "file_path", "left_semi")
-    _process(run, todo if busy else files.limit(0), options)
+    kind = F.col("change_type")
+    n = run.diff.agg(
+        F.count_if(kind == "unchanged").alias("same"), F.count_if(kind.isin("new", "modified")).alias("changed"),
+        F.count_if(kind == "deleted").alias("gone"),
+    ).head()
+    busy = n.changed + n.gone > 0
+    _process(run, _work_list(files, run.diff, n.same, n.changed), options)
     if busy:
         _merge(store, run, options, plain)
     if options.cells:
@@ -217,7 +242,9 @@ def index_arrivals(
     """
     options = options or IndexOptions()
     run = _new_run(store, tag)
-    newest = latest(files, ["file_path"], F.struct("modified_at", "file_hash"))
+    newest = files
+    if not files.groupBy("file_path").count().where("count > 1").isEmpty():  # bodies are only merged where paths repeat
+        newest = latest(files, ["file_path"], F.struct("modified_at", "file_hash"))
     seen = newest.select("file_path", "modified_at", "file_hash").where(
         file_type(F.col("file_path")).isNotNull()
     )

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skimdex.functions.vectors import fit_vector_dim
 from skimdex.operators.upsert import latest
 from skimdex.operators.maintain import RETENTION_HOURS, prune_versions
 from skimdex.schemas import META, VECTORS
@@ -34,11 +35,12 @@ LOG = T.StructType(
 class IndexTable:
     """A keyed table under ``root``; all rows of one ``key`` value are replaced together."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, fit_width: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
         self.key = key
+        self.fit_width = fit_width
 
     # -- state ---------------------------------------------------------------------------------
 
@@ -111,6 +113,27 @@ class IndexTable:
     def count(self) -> DataFrame:
         return self.read().agg(F.count(F.lit(1)).alias("n_rows"))
 
+    def _widths(self, rows: DataFrame) -> tuple[int, int] | None:
+        size = F.size("vector")
+        found = rows.where("vector IS NOT NULL").agg(F.min(size).alias("low"), F.max(size).alias("high")).head()
+        return None if found.low is None else (found.low, found.high)
+
+    def width(self) -> int | None:
+        """Entries of the table's vectors; None while it holds none."""
+        now = self.state()
+        rows = self._generations("rows", self.schema, now.base, now.gen).where("vector IS NOT NULL")
+        found = rows.select(F.size("vector").alias("n")).head()
+        return found.n if found else None
+
+    def _check_width(self, written: DataFrame) -> None:
+        """All vectors of a table have one width, so that no row silently drops out of every search."""
+        new = self._widths(written)
+        if new is None:
+            return
+        want = self.width() or new[0]
+        if new != (want, want):
+            raise ValueError(f"vectors have {new[0]} to {new[1]} entries, the table holds {want}; see fit_width")
+
     # -- write ---------------------------------------------------------------------------------
 
     def _write(self, kind: str, gen: int, rows: DataFrame | None, schema: T.StructType) -> str:
@@ -151,6 +174,9 @@ class IndexTable:
     def upsert(self, updates: DataFrame, replaced: DataFrame | None = None, tag: str = "") -> int:
         """Insert rows and replace what their keys held before. Empty input changes nothing.
 
+        Vectors of another width than the table's are an error, and nothing becomes visible; a table
+        with ``fit_width`` pads or cuts them instead.
+
         Where the key names single rows (``id``, or the path of a metadata row), of several updates
         with one key only the last in column order is written. Pass ``replaced`` when the caller already
         knows the keys, which also covers keys that have no rows any more.
@@ -159,8 +185,12 @@ class IndexTable:
         if self.key == self.schema.names[0]:
             rest = [F.col(c) for c in self.schema.names if c != self.key]
             updates = latest(updates.select(*self.schema.names), [self.key], F.struct(*rest))
+        if self.fit_width:
+            updates = updates.withColumn("vector", fit_vector_dim(F.col("vector"), self.fit_width))
         staged = self._write("rows", now.gen + 1, updates, self.schema)
         written = self.spark.read.schema(self.schema).parquet(staged)
+        if "vector" in self.schema.names:
+            self._check_width(written)
         if (replaced is None or replaced.isEmpty()) and written.isEmpty():
             return now.gen
         if replaced is None:
@@ -221,13 +251,14 @@ class IndexStore:
     """The two tables of an index: vectors and per-file metadata.
 
     ``vector_key`` decides what an upsert replaces: ``file_path`` swaps all rows of a file, ``id``
-    swaps single rows, so files of equal content share one image row.
+    swaps single rows, so files of equal content share one image row. ``fit_width`` pads or cuts every
+    written vector to that many entries.
     """
 
-    def __init__(self, spark: SparkSession, root: str, vector_key: str = "file_path"):
+    def __init__(self, spark: SparkSession, root: str, vector_key: str = "file_path", fit_width: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.vectors = IndexTable(spark, f"{self.root}/vectors", VECTORS, vector_key)
+        self.vectors = IndexTable(spark, f"{self.root}/vectors", VECTORS, vector_key, fit_width)
         self.meta = IndexTable(spark, f"{self.root}/meta", META, "file_path")
 
     def delete_paths(self, paths: DataFrame) -> None:

@@ -240,3 +240,26 @@ def test_a_run_that_died_between_the_tables_goes_on(spark, folder, monkeypatch):
             incremental_index_job(store, first, IndexOptions(picky(), chunk_size=100, chunk_overlap=10))
     incremental_index_job(store, first, OPTIONS)
     assert contents(store) == [("ok.txt", 0), ("sick.txt", 0)] and indexed(store) == ["ok.txt", "sick.txt"]
+
+
+def test_work_list_takes_the_shorter_side(spark, folder):
+    from skimdex.plans.jobs import _work_list
+
+    files = spark.createDataFrame([(f"f{i}.txt", "x") for i in range(6)] + [("f.bin", "x")], "file_path string, text string")
+    for changed in range(7):
+        diff = spark.createDataFrame(
+            [(f"f{i}.txt", "new" if i < changed else "unchanged") for i in range(6)] + [("gone.txt", "deleted")],
+            "file_path string, change_type string",
+        )
+        todo = _work_list(files, diff, 6 - changed, changed)
+        assert sorted(r.file_path for r in todo.collect()) == [f"f{i}.txt" for i in range(changed)]
+        assert changed < 6 or "Join" not in todo._jdf.queryExecution().toString()
+
+
+def test_report_lists_processed_files(spark, folder):
+    files = spark.createDataFrame(
+        [("a.txt", 3, 1, "h1", "one two"), ("b.png", 3, 1, "h2", "x")],
+        "file_path string, file_size long, modified_at long, file_hash string, text string",
+    )
+    run = incremental_index_job(IndexStore(spark, f"{folder}/index"), files, OPTIONS)
+    assert [(r.file_path, r.n_chunks, r.file_hash) for r in run.report(files).collect()] == [("a.txt", 1, "h1")]

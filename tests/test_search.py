@@ -184,3 +184,14 @@ def test_neighbours_do_not_depend_on_the_plan(spark):
             answers.append(sorted((r.query_id, r["rank"], r.id, round(r.distance, 12)) for r in found))
     assert all(a == answers[0] for a in answers)
     assert {a[0] for a in answers[0]} == {"short", "q1", "q2"} and len(answers[0]) == 1 + 4 + 4
+
+
+def test_payload_scan_is_filtered_by_the_page(spark, cloud, folder):
+    make(spark, cloud).withColumn("metadata", F.lit("{}")).write.parquet(f"{folder}/v")
+    stored = spark.read.parquet(f"{folder}/v")
+    hits = search.search_page(stored, QUERY, limit=3)
+    found = search.with_payload(hits, stored)
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(file_path" in plan or "In(file_path, [" in plan
+    assert [r.id for r in found.collect()] == [r.id for r in hits.collect()]
+    assert search.with_payload(hits.where("false"), stored).count() == 0

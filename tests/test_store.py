@@ -133,3 +133,20 @@ def test_one_upsert_writes_a_key_once(spark, folder):
     both = upsert_vectors(rows(spark, ("a", 0, 1)), rows(spark, ("a", 0, 2), ("a", 0, 3)), "by_id")
     assert [r.vector[0] for r in both.collect()] == [3.0]
 
+
+
+def test_vectors_of_one_table_have_one_width(spark, folder):
+    wide = rows(spark, ("w", 0, 1)).withColumn("vector", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
+    table = IndexStore(spark, f"{folder}/strict").vectors
+    table.upsert(rows(spark, ("a", 0, 1)))
+    before = table.state()
+    for bad in (wide, wide.unionByName(rows(spark, ("b", 0, 1)))):
+        with pytest.raises(ValueError, match="entries"):
+            table.upsert(bad)
+    assert table.state() == before and content(table) == [("a", 0, 1.0)]
+    table.clear()
+    table.upsert(wide)
+    assert table.width() == 2
+    fitted = IndexStore(spark, f"{folder}/fitted", fit_width=1).vectors
+    fitted.upsert(wide.unionByName(rows(spark, ("b", 0, 3))))
+    assert content(fitted) == [("b", 0, 3.0), ("w", 0, 1.0)]
