@@ -163,7 +163,7 @@ def _merge(store: IndexStore, run: IndexRun, options: IndexOptions, plain: bool)
         gone = live.join(deleted, "file_path", "left_semi").select("id")
         replaced = rows.select("id").unionByName(gone)
     if not store.vectors.committed(mark):
-        store.vectors.upsert(rows, replaced, mark)
+        store.vectors.upsert(rows, replaced, mark, one_width=True)
 
     stamp = F.lit(options.now) if options.now else F.current_timestamp()
     entries = done.select(

@@ -126,7 +126,7 @@ class IndexTable:
         return found.n if found else None
 
     def _check_width(self, written: DataFrame) -> None:
-        """All vectors of a table have one width, so that no row silently drops out of every search."""
+        """A build keeps one width per table, so that no row silently drops out of every search."""
         new = self._widths(written)
         if new is None:
             return
@@ -171,11 +171,13 @@ class IndexTable:
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
         return gen
 
-    def upsert(self, updates: DataFrame, replaced: DataFrame | None = None, tag: str = "") -> int:
+    def upsert(
+        self, updates: DataFrame, replaced: DataFrame | None = None, tag: str = "", one_width: bool = False
+    ) -> int:
         """Insert rows and replace what their keys held before. Empty input changes nothing.
 
-        Vectors of another width than the table's are an error, and nothing becomes visible; a table
-        with ``fit_width`` pads or cuts them instead.
+        With ``one_width`` vectors of another width than the table's are an error, and nothing becomes
+        visible; a table with ``fit_width`` pads or cuts them instead.
 
         Where the key names single rows (``id``, or the path of a metadata row), of several updates
         with one key only the last in column order is written. Pass ``replaced`` when the caller already
@@ -189,7 +191,7 @@ class IndexTable:
             updates = updates.withColumn("vector", fit_vector_dim(F.col("vector"), self.fit_width))
         staged = self._write("rows", now.gen + 1, updates, self.schema)
         written = self.spark.read.schema(self.schema).parquet(staged)
-        if "vector" in self.schema.names:
+        if one_width:
             self._check_width(written)
         if (replaced is None or replaced.isEmpty()) and written.isEmpty():
             return now.gen

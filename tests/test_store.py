@@ -142,10 +142,10 @@ def test_vectors_of_one_table_have_one_width(spark, folder):
     before = table.state()
     for bad in (wide, wide.unionByName(rows(spark, ("b", 0, 1)))):
         with pytest.raises(ValueError, match="entries"):
-            table.upsert(bad)
+            table.upsert(bad, one_width=True)
     assert table.state() == before and content(table) == [("a", 0, 1.0)]
     table.clear()
-    table.upsert(wide)
+    table.upsert(wide, one_width=True)
     assert table.width() == 2
     fitted = IndexStore(spark, f"{folder}/fitted", fit_width=1).vectors
     fitted.upsert(wide.unionByName(rows(spark, ("b", 0, 3))))
