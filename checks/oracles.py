@@ -184,6 +184,8 @@ def oracle_sql() -> dict[str, str]:
     """Key of ``queries()`` to SQL."""
     fw, fh = fit(1024)
     first = "round(vector[1]::DOUBLE, 6) AS first"
+    top = _with(V, Q, SCORED) + f"""SELECT id, file_path, chunk_index, {SCORE} AS score
+  FROM (SELECT * FROM s ORDER BY round(c, 12) DESC, id LIMIT 50)"""
     vrows = "SELECT id, file_path, chunk_index, 'text' AS file_type, CAST(len(vector) AS INT) AS dim"
     merged = f"""SELECT id, file_path, chunk_index, CAST(len(vector) AS INT) AS dim, {first} FROM v
   WHERE file_path NOT IN (SELECT file_path FROM t)
@@ -306,8 +308,10 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
   CAST(CASE WHEN total = 0 THEN 0 ELSE floor(current * 100.0 / total) END AS INT) AS percentage FROM (
   SELECT CAST(user_id AS VARCHAR) AS job_id, event_type AS phase, max(CAST(trunc(value) AS INT)) AS current,
     max(CASE WHEN event_type = 'view' THEN 0 ELSE 250 END) AS total FROM events GROUP BY ALL)""",
-        "search_topk": _with(V, Q, SCORED)
-        + f"SELECT id, file_path, chunk_index, {SCORE} AS score FROM (SELECT * FROM s ORDER BY round(c, 12) DESC, id LIMIT 50)",
+        "search_topk": top,
+        "search_sq8": top,
+        "search_grown_index": top,
+        "coarse_index_upkeep": "SELECT count(*) AS n_rows, count(*) AS n_placed, count(*) AS n_ids FROM embeddings",
         "search_page": _with(V, Q, SCORED, PAGE.format(10, 50))
         + f"""SELECT id, file_path, chunk_index, {SCORE} AS score, raw >= 50 AS has_more,
   CAST(count(*) OVER () AS INT) AS total, 10 AS "offset" FROM page WHERE fr = 1""",

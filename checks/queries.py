@@ -16,6 +16,7 @@ from skimdex.functions import vectors as V
 from skimdex.operators import ann, chunk, diff, index_rows, knn, maintain, media, model_io, search, upsert
 from skimdex.operators.scoring import score_rows
 from skimdex.plans import jobs, query
+from skimdex.plans.coarse import CoarseIndex
 from skimdex.session import configure, spread, work_dir
 from skimdex.sources import files, tables
 from skimdex.streaming.ingest import incremental_index_stream
@@ -562,6 +563,46 @@ def q_quantize_sq8(spark, sf):
     return coded.select("id", F.hex("code").alias("code"))
 
 
+@register
+def q_search_sq8(spark, sf):
+    """A scan of codes with an exact second look finds what the exact search finds."""
+    rows = I.vectors(spark, sf)
+    ranges = ann.dimension_ranges(rows)
+    hits = ann.search_sq8(ann.quantize_sq8(rows, ranges), rows, ranges, I.QUERY, 50)
+    return hits.select("id", "file_path", "chunk_index", _score6())
+
+
+def _grown_index(spark, sf) -> CoarseIndex:
+    """A store written three times: trained on the first part, extended by the second, the third not yet laid out."""
+    store = tables.IndexStore(spark, work_dir(spark, "index"))
+    index = CoarseIndex(store)
+    rows = I.vector_rows(spark, sf)
+    for part in range(3):
+        store.vectors.upsert(rows.where(F.pmod(F.xxhash64("file_path"), F.lit(3)) == part))
+        if part < 2:
+            index.refresh(8, iterations=10)
+    return index
+
+
+@register
+def q_coarse_index_upkeep(spark, sf):
+    """Every row is there once, and it has a cell if its part was laid out."""
+    cells, _ = _grown_index(spark, sf).tables()
+    due = F.pmod(F.xxhash64("file_path"), F.lit(3)) < 2
+    return cells.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(due == (F.col("cell") >= 0)).alias("n_placed"),
+        F.count_distinct("id").alias("n_ids"),
+    )
+
+
+@register
+def q_search_grown_index(spark, sf):
+    """Probing every cell of an index that lags behind is exact."""
+    cells, centroids = _grown_index(spark, sf).tables()
+    hits = ann.search_ann(cells, centroids, I.QUERY, k=50, nprobe=8)
+    return hits.select("id", "file_path", "chunk_index", _score6())
+
+
 @register
 def q_lsh_neighbors(spark, sf):
     """Buckets as wide as the data, where only a row differing in all tables could be missed."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,9 +18,11 @@ from pyspark.sql import types as T
 
 from skimdex.functions.vectors import cosine_similarity, dot
 from skimdex.operators.knn import BROADCAST_BYTES, GRID_BYTES, _ranked, blocked_topk, knn_join
-from skimdex.operators.scoring import BLOCK_CELLS, COSINE_DECIMALS, unit_rows, usable_slices
+from skimdex.operators.scoring import BLOCK_CELLS, COSINE_DECIMALS, partition_topk, payload_schema, unit_rows, usable_slices
 from skimdex.operators.search import search_topk
 
+#: cell of rows that were not assigned yet: every search looks there
+UNPLACED = -2
 CENTROIDS = T.StructType(
     [T.StructField("cell", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))]
 )
@@ -120,8 +125,8 @@ def probe_cells(centroids: DataFrame, query: list[float], nprobe: int) -> list[i
 def probed(
     indexed: DataFrame, centroids: DataFrame, query: list[float], nprobe: int
 ) -> DataFrame:
-    """The rows of the ``nprobe`` nearest cells; other cells are pruned from the scan."""
-    return indexed.where(F.col("cell").isin(probe_cells(centroids, query, nprobe)))
+    """The rows of the ``nprobe`` nearest cells and unplaced ones; other cells are pruned from the scan."""
+    return indexed.where(F.col("cell").isin([*probe_cells(centroids, query, nprobe), UNPLACED]))
 
 
 def search_ann(
@@ -188,6 +193,40 @@ def quantize_sq8(vectors: DataFrame, ranges: DataFrame | None = None) -> DataFra
     return vectors.withColumn("code", code).drop("vector")
 
 
+def search_sq8(
+    coded: DataFrame, vectors: DataFrame, ranges: DataFrame, query: list[float], k: int, factor: int = 4
+) -> DataFrame:
+    """Top-k by scanning codes, a byte per dimension, and reranking the best ``k * factor`` exactly.
+
+    ``coded`` comes from ``quantize_sq8(vectors, ranges)``. Exact unless a true hit falls behind
+    ``k * factor`` rows by its code; only the rows that are reranked are taken from ``vectors``.
+    """
+    bounds = ranges.head()
+    if bounds is None or bounds.low is None or len(bounds.low) != len(query):
+        return search_topk(vectors, query, k)
+    low, high = np.asarray(bounds.low), np.asarray(bounds.high)
+    step = np.where(high > low, high - low, 0.0) / 255.0
+    asked = np.asarray(query, dtype=np.float64)[None, :]
+    source = coded.select("id", "file_path", F.col("code").alias("vector"))
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, BLOCK_CELLS // len(low))
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.binary_length(batch.column("vector")), len(low)))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                codes = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.uint8).reshape(-1, len(low))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array((low + codes * step).ravel()), len(low))
+                vector = lists.cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], vector], ["id", "file_path", "vector"])
+
+    found = source.mapInArrow(lambda it: partition_topk(decoded(it), asked, k * factor), payload_schema(source))
+    near = found.orderBy(F.desc(F.round("_cos", COSINE_DECIMALS)), "id", "file_path").limit(k * factor)
+    names = near.select(F.col("id").alias("_id"), F.col("file_path").alias("_path"))
+    same = (F.col("id") == F.col("_id")) & F.col("file_path").eqNullSafe(F.col("_path"))
+    return search_topk(vectors.join(F.broadcast(names), same, "left_semi"), query, k)  # k * factor slim rows
+
+
 def lsh_neighbors(
     vectors: DataFrame, query: list[float], k: int, bucket: float = 0.5, tables: int = 4, seed: int = 7
 ) -> DataFrame:

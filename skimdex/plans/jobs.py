@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from skimdex.functions.embed import Embedder, HashingEmbedder
 from skimdex.functions.paths import file_type
 from skimdex.functions.text import CHUNK_OVERLAP, CHUNK_SIZE
-from skimdex.operators.ann import build_coarse_index, load_coarse_index
 from skimdex.operators.chunk import chunk_documents
 from skimdex.operators.diff import incremental_files, index_summary, indexed_files_report, snapshot_diff
 from skimdex.operators.index_rows import (
@@ -22,7 +21,10 @@ from skimdex.operators.index_rows import (
     image_index_rows,
     text_index_rows,
 )
+from skimdex.operators.media import exif_fields
 from skimdex.operators.upsert import latest
+from skimdex.plans.coarse import CoarseIndex
+from skimdex.schemas import EXIF
 from skimdex.session import spread
 from skimdex.sources.files import read_text_docs
 from skimdex.sources.tables import IndexStore
@@ -32,7 +34,11 @@ PHASES = ("scanning", "comparing", "processing", "cleanup", "indexing", "optimiz
 
 @dataclass
 class IndexOptions:
-    """Knobs of a build. ``cells`` also writes a coarse index, ``compact`` folds generations."""
+    """Knobs of a build. ``cells`` also extends the store's coarse index, ``compact`` folds generations.
+
+    ``tags`` (file_path, tags as JSON) gives image rows their EXIF fields; ``thumbnails`` is the folder
+    in which a thumbnail is named after its file's hash.
+    """
 
     embedder: Embedder = field(default_factory=HashingEmbedder)
     image_embedder: Embedder = field(default_factory=HashingEmbedder)
@@ -44,6 +50,8 @@ class IndexOptions:
     compact: bool = False
     target_files: int | None = None
     now: dt.datetime | None = None
+    tags: DataFrame | None = None
+    thumbnails: str | None = None
 
 
 @dataclass
@@ -69,10 +77,6 @@ class IndexRun:
     def images(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/images")
 
-    def coarse(self) -> tuple[DataFrame, DataFrame]:
-        """(cells, centroids) if the build was asked for a coarse index."""
-        return load_coarse_index(self.spark, f"{self.path}/coarse")
-
     def summary(self) -> DataFrame:
         return index_summary(self.diff, self.errors)
 
@@ -122,12 +126,24 @@ def _process(run: IndexRun, todo: DataFrame, options: IndexOptions) -> None:
         others = todo.where(kind != "text").select("file_path", F.lit("no content for this file type").alias("error"))
         errors = errors.unionByName(others)
     else:
-        pictures = embed_images(todo.where(kind == "image"), options.image_embedder)
+        pictures = _described(embed_images(todo.where(kind == "image"), options.image_embedder), options)
         pictures.write.mode("overwrite").parquet(f"{run.path}/images")
         errors = errors.unionByName(failed_files(run.images))
     errors.write.mode("overwrite").parquet(f"{run.path}/errors")
 
 
+def _described(pictures: DataFrame, options: IndexOptions) -> DataFrame:
+    """Add ``thumbnail_path`` and ``exif`` as far as the options give them; of repeated tags the smallest count."""
+    if options.thumbnails:
+        name = F.concat(F.lit(options.thumbnails.rstrip("/") + "/"), "file_hash", F.lit(".webp"))
+        pictures = pictures.withColumn("thumbnail_path", name)
+    if options.tags is not None:
+        once = options.tags.groupBy("file_path").agg(F.min("tags").alias("tags"))
+        exif = exif_fields(once).select("file_path", F.struct(*EXIF.names).alias("exif"))
+        pictures = pictures.join(exif, "file_path", "left")
+    return pictures
+
+
 def _mark(store: IndexStore, run: IndexRun) -> str:
     """Name of what a run is about to merge: which changes, on top of which metadata.
 
@@ -226,10 +242,10 @@ def _run(store, run, files, diff, options, plain) -> IndexRun:
     _process(run, _work_list(files, run.diff, n.same, n.changed), options)
     if busy:
         _merge(store, run, options, plain)
-    if options.cells:
-        build_coarse_index(store.vectors.read(), f"{run.path}/coarse", options.cells)
     if options.compact:
         store.optimize(options.target_files)
+    if options.cells:
+        CoarseIndex(store).refresh(options.cells)
     return run
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skimdex.functions.embed import Embedder, HashingEmbedder
 from skimdex.operators.ann import probed
 from skimdex.operators.search import DEFAULT_LIMIT, format_results, search_page, with_payload
+from skimdex.plans.coarse import CoarseIndex
+from skimdex.sources.tables import IndexStore
 
 
 def query_vector(
@@ -35,7 +37,7 @@ def query_vector(
 
 
 def search(
-    vectors: DataFrame,
+    vectors: DataFrame | IndexStore,
     kind: str,
     text: str | None = None,
     image_path: str | None = None,
@@ -47,10 +49,15 @@ def search(
 ) -> DataFrame:
     """Validate, embed, fetch one page, de-duplicate and format. An empty table gives no rows.
 
-    With ``centroids``, ``vectors`` are the cells of a coarse index and only the nearest are read.
+    A store is searched through its coarse index if it has one, else exactly. With ``centroids``,
+    ``vectors`` are the cells of a coarse index and only the nearest are read.
     """
-    query = query_vector(vectors.sparkSession, kind, text, image_path, embedder)
+    rows = cells = vectors
+    if isinstance(vectors, IndexStore):
+        rows = cells = vectors.vectors.read()
+        cells, centroids = CoarseIndex(vectors).tables() or (rows, None)
+    query = query_vector(rows.sparkSession, kind, text, image_path, embedder)
     if centroids is not None:
-        vectors = probed(vectors, centroids, query, nprobe)
-    page = search_page(vectors, query, offset, limit)
-    return format_results(with_payload(page, vectors))
+        cells = probed(cells, centroids, query, nprobe)
+    page = search_page(cells, query, offset, limit)
+    return format_results(with_payload(page, rows))

@@ -101,7 +101,14 @@ class IndexTable:
         to the scan.
         """
         now = self.state()
-        rows = self._generations("rows", self.schema, now.base, now.gen)
+        return self.live(self.written(now.base, now.gen), now)
+
+    def written(self, low: int, high: int) -> DataFrame:
+        """Rows that the generations from ``low`` to ``high`` wrote, replaced ones included, with ``gen``."""
+        return self._generations("rows", self.schema, low, high)
+
+    def live(self, rows: DataFrame, now: Row) -> DataFrame:
+        """``rows`` of a state, with ``gen``, without those that a later generation replaced."""
         if not now.n_gone:
             return rows.drop("gen")
         gone_key = T.StructType([self.schema[self.key]])

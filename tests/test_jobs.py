@@ -1,3 +1,4 @@
+import json
 import os
 
 import pandas as pd
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from checks.inputs import _png
 from skimdex.functions.embed import HashingEmbedder
 from skimdex.functions.paths import content_hash
+from skimdex.operators.ann import UNPLACED
 from skimdex.operators.diff import progress_by_phase
+from skimdex.plans.coarse import CoarseIndex
 from skimdex.plans.jobs import IndexOptions, incremental_index_job
 from skimdex.plans.query import search
 from skimdex.sources.files import load_files, stream_files
@@ -118,15 +121,56 @@ def test_scoped_run_leaves_other_folders_alone(spark, folder):
     os.remove(f"{folder}/a/x.txt")
     put(f"{folder}/a", "z.txt", "third")
     scoped = IndexOptions(scope=f"{folder}/a/", compact=True, cells=2)
-    run = incremental_index_job(store, scan(spark, f"{folder}/a"), scoped)
+    incremental_index_job(store, scan(spark, f"{folder}/a"), scoped)
     assert indexed(store) == ["y.txt", "z.txt"]
     assert store.vectors.state().n_gone == 0
-    cells, centroids = run.coarse()
+    cells, _ = CoarseIndex(store).tables()
     assert cells.count() == 2
-    hits = search(cells, "text", text="third", limit=5, centroids=centroids, nprobe=1).collect()
+    hits = search(store, "text", text="third", limit=5, nprobe=1).collect()
     assert hits[0].file_name == "z.txt" and hits[0].similarity == 100.0
 
 
+def test_coarse_index_follows_the_store(spark, folder):
+    root, store = f"{folder}/files", IndexStore(spark, f"{folder}/index")
+    for i in range(6):
+        put(root, f"f{i}.txt", f"note number {i} on harbours {'x' * i}")
+    options = IndexOptions(chunk_size=100, chunk_overlap=10, cells=2)
+    incremental_index_job(store, scan(spark, root), options)
+    index = CoarseIndex(store)
+    trained = index.tables()[1].collect()
+    assert not index.refresh(2)  # nothing was written since
+    put(root, "f1.txt", "an entirely different subject")
+    os.remove(f"{root}/f2.txt")
+    put(root, "new.txt", "lanterns in the fog")
+    incremental_index_job(store, scan(spark, root), OPTIONS)  # leaves the index behind
+    late = {os.path.basename(r.file_path): r.cell for r in index.tables()[0].collect()}
+    assert set(late) == {"f0.txt", "f1.txt", "f3.txt", "f4.txt", "f5.txt", "new.txt"}
+    assert late["new.txt"] == late["f1.txt"] == UNPLACED and late["f0.txt"] >= 0
+    assert search(store, "text", text="lanterns in the fog", nprobe=1).first().file_name == "new.txt"
+    # a dead refresh left cells behind without saying so
+    stale = f"{store.root}/coarse/base={store.vectors.state().base}/cells/upto=99"
+    index.tables()[0].withColumn("cell", F.lit(0)).withColumn("gen", F.lit(1)).write.partitionBy("cell").parquet(stale)
+    assert index.refresh(2) and index.tables()[1].collect() == trained
+    cells = index.tables()[0].collect()
+    assert sorted(os.path.basename(r.file_path) for r in cells) == sorted(late) and all(r.cell >= 0 for r in cells)
+    store.clear()
+    assert index.tables() is None and not index.refresh(2)
+    assert search(store, "text", text="lanterns").count() == 0
+
+
+def test_images_carry_exif_and_thumbnail(spark, folder):
+    root, store = f"{folder}/files", IndexStore(spark, f"{folder}/index")
+    put(root, "a.png", _png(4, 4))
+    put(root, "b.png", _png(5, 4))
+    tags = [(f"{root}/a.png", '{"Make": "Acme", "GPSLatitude": -1.5}'), (f"{root}/a.png", '{"Make": "Zed"}'), ("gone.png", "{}")]
+    options = IndexOptions(tags=spark.createDataFrame(tags, "file_path string, tags string"), thumbnails="/thumbs/")
+    incremental_index_job(store, scan(spark, root), options)
+    rows = {os.path.basename(r.file_path): json.loads(r.metadata) for r in store.vectors.read().collect()}
+    assert rows["a.png"]["exif"] == {"camera_make": "Acme", "gps_latitude": "1.5 S"}
+    assert "exif" not in rows["b.png"] and set(rows) == {"a.png", "b.png"}
+    assert all(r["thumbnail_path"] == f"/thumbs/{r['file_hash']}.webp" for r in rows.values())
+
+
 def text_stream(spark, path):
     schema = "file_path string, file_size long, modified_at long, file_hash string, text string"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)

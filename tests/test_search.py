@@ -127,6 +127,17 @@ def test_probing_all_cells_is_exact(spark, cloud, folder):
     assert all(0.0 <= r.recall <= 1.0 for r in few.collect())
 
 
+def test_scan_of_codes_with_exact_second_look(spark, cloud):
+    vectors = make(spark, [*cloud, None, [1.0], [0.0] * 8])
+    ranges = ann.dimension_ranges(vectors)
+    coded = ann.quantize_sq8(vectors, ranges)
+    hits = ann.search_sq8(coded, vectors, ranges, QUERY, 10).collect()
+    assert [h.id for h in hits] == brute(cloud, QUERY, 10)
+    assert [h.id for h in ann.search_sq8(coded, vectors, ranges, [2.0], 3).collect()] == ["v091"]  # another width: exact
+    none = vectors.where("false")
+    assert ann.search_sq8(ann.quantize_sq8(none), none, ann.dimension_ranges(none), QUERY, 3).count() == 0
+
+
 def test_probing_prunes_cells_from_the_scan(spark, cloud, folder):
     ann.build_coarse_index(make(spark, cloud), folder, cells=4, iterations=5)
     cells, centroids = ann.load_coarse_index(spark, folder)
