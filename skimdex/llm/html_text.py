@@ -2,19 +2,19 @@
 
 Pages of one host are merged into a style tree. A node of it is a path of tags with their classes; it
 counts on how many pages it occurs, in which presentations (sequences of child tags) and with which
-contents. A node that looks alike on all pages has low entropy and matters little; the main text
+contents. Pages that repeat count once. A node that looks alike on all pages has low entropy and matters little; the main text
 varies. A node's own importance mixes both entropies; that of a branch is composed from below, as the
 largest among its nodes on the page at hand. Branches below ``LEAST`` are cut from each page, unless
 they lie in the page's article, where repeated sentences are part of the text. What its tag, role or class declares
 to be a menu, header, footer, sidebar, notice, advert, form, script, style or comment goes always.
 
-Only counts are gathered: a host of any size is summed by (path, presentation) and (path, content)
-with partial sums in each task, and the pages themselves are never shuffled by host unless the list
+Only node hashes of distinct pages and their counts are gathered: a host of any size is summed by
+(path, presentation) and (path, content) with partial sums in each task, and the pages themselves are never shuffled by host unless the list
 of unimportant paths outgrows a broadcast.
 
 Defined results: null and empty html give an empty text; unclosed, misnested and cut tags are closed
-where HTML closes them; a null url shares one nameless host; rows may repeat; other columns are
-ignored.
+where HTML closes them; a null url shares one nameless host; rows may repeat and change nothing for
+others; a page is never cut down to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -190,7 +191,14 @@ def _unimportant(root: Node, low: set[int]) -> set[int]:
 
 
 def page_text(page: str, low: set[int]) -> str:
-    """Blocks of the page's main text, without declared noise and branches of paths in ``low`` only."""
+    """Blocks of the page's main text, without declared noise and branches of paths in ``low`` only.
+
+    A page of which nothing would be left is given without the cuts.
+    """
+    return _blocks(page, low) or (_blocks(page, set()) if low else "")
+
+
+def _blocks(page: str, low: set[int]) -> str:
     root = parse(page)
     poor = _unimportant(root, low) if low else set()
     inside = _has_main(root)
@@ -247,19 +255,28 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance); entropies are relative to the number of pages, in [0, 1]."""
+    """(host, path, pages, importance); entropies are relative to the number of pages, in [0, 1].
+
+    Pages of a host with the same nodes count once, however often they repeat: each gives one row
+    with its digest, and copies are combined before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                rows = [tree_rows(page.as_py() or "") for page in part.column(1)]
-                hosts = part.column(0).take(pa.array([i for i, r in enumerate(rows) for _ in r], pa.int64()))
-                cols = [pa.array([row[k] for r in rows for row in r], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([hosts, *cols], ["host", "path", "look", "words"])
+                rows = [np.array(tree_rows(page.as_py() or ""), np.int64) for page in part.column(1)]
+                digests = pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in rows], pa.binary())
+                flat = np.concatenate(rows)
+                cols = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)]
+                ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, ["path", "look", "words"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, nodes], ["host", "page", "nodes"])
 
     slim = pages.select(host_of(F.col("url")).alias("host"), "html")
-    seen = slim.mapInArrow(run, "host string, path long, look long, words long")
+    each = slim.mapInArrow(run, "host string, page binary, nodes array<struct<path: long, look: long, words: long>>")
+    each = each.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
+    seen = each.select("host", F.inline("nodes"))
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("look", "words"))]
     each = seen.select("host", "path", F.explode(F.array(*kinds)).alias("of"))
     counts = each.groupBy("host", "path", "of.kind", "of.value").agg(F.count("*").alias("n"))

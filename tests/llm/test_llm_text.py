@@ -242,6 +242,18 @@ def test_style_tree_cuts_what_repeats(spark):
     assert got == want and html_text.extract_text(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_its_text(spark):
+    story = lambda k: f"<body><div class='a'><p>story {k} tells</p></div><main><p>part {k}</p></main>"
+    plain = lambda k: f"<body><div class='a'><p>story {k} tells</p></div><p>rest"
+    rows = [(i, "http://eight.org/", plain(0)) for i in range(8)] + [(i, "http://many.org/", plain(i % 3)) for i in range(1000)]
+    rows += [(i, None, story(i % 2)) for i in range(1000)]
+    got = collections.Counter((r.url, r.text) for r in html_text.extract_text(spark.createDataFrame(rows, PAGE)).collect())
+    assert got == collections.Counter((u, f"part {i % 2}" if u is None else re.sub("<[^>]*>", "", h).replace("rest", "\n\nrest")) for i, u, h in rows)
+    page = plain(0)
+    every = {path for path, _, _ in html_text.tree_rows(page)}
+    assert html_text.page_text(page, every) == html_text.page_text(page, set()) != ""
+
+
 # -- urls
 
 
