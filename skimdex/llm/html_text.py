@@ -4,13 +4,15 @@ Pages of one host are merged into a style tree. A node of it is a path of tags w
 counts on how many pages it occurs, in which presentations (sequences of child tags) and with which
 contents. Pages that repeat count once. A node that looks alike on all pages has low entropy and matters little; the main text
 varies. A node's own importance mixes both entropies; that of a branch is composed from below, as the
-largest among its nodes on the page at hand. Branches below ``LEAST`` are cut from each page, unless
-they lie in the page's article, where repeated sentences are part of the text. What its tag, role or class declares
+largest among its nodes on the page at hand. Branches below ``LEAST`` are cut from each page; in an
+article only whole blocks are, since repeated words are part of a sentence, and none where all of the
+article repeats. Of a page with an article, branches outside it stay that the tree finds important on
+at least ``MIN_PAGES`` pages; without such evidence they go. What its tag, role or class declares
 to be a menu, header, footer, sidebar, notice, advert, form, script, style or comment goes always.
 
 Only node hashes of distinct pages and their counts are gathered: a host of any size is summed by
 (path, presentation) and (path, content) with partial sums in each task, and the pages themselves are never shuffled by host unless the list
-of unimportant paths outgrows a broadcast.
+of judged paths outgrows a broadcast.
 
 Defined results: null and empty html give an empty text; unclosed, misnested and cut tags are closed
 where HTML closes them; a null url shares one nameless host; rows may repeat and change nothing for
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,51 +159,109 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def tree_rows(page: str) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of a page's nodes, equal paths taken together."""
-    shapes: dict[int, tuple] = {}
-    stack = [parse(page)]
+def tree_rows(page: str) -> list[tuple[int, int, int, int]]:
+    """(path, presentation, content, outside) of a page's nodes, equal paths taken together.
+
+    ``outside`` is 1 for text beside the article of a page that has one.
+    """
+    shapes: dict[int, list] = {}
+    root = parse(page)
+    inside = _has_main(root)
+    stack = [root]
     while stack:
         node = stack.pop()
-        look, words = shapes.setdefault(node.path, (xxhash.xxh64(), xxhash.xxh64()))
+        shape = shapes.setdefault(node.path, [xxhash.xxh64(), xxhash.xxh64(), 0])
+        look, words, _ = shape
         for kid in node.kids:
             if isinstance(kid, str):
-                words.update(_squeeze(kid))
+                text = _squeeze(kid)
+                words.update(text)
                 look.update(b"#")
+                if text and node.main < inside:
+                    shape[2] = 1
             else:
                 look.update(kid.path.to_bytes(8, "little"))
                 if not kid.noise:
                     stack.append(kid)
-    return [(_signed(p), _signed(s.intdigest()), _signed(c.intdigest())) for p, (s, c) in shapes.items()]
+    return [(_signed(p), _signed(s.intdigest()), _signed(c.intdigest()), o) for p, (s, c, o) in shapes.items()]
 
 
-def _unimportant(root: Node, low: set[int]) -> set[int]:
-    """Identities of the topmost branches in which every node is in ``low``."""
+def _in_order(root: Node) -> list[Node]:
+    """Nodes without declared noise, parents before their children."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo.extend(k for k in node.kids if not isinstance(k, str) and not k.noise)
+    return order
+
+
+def _unimportant(root: Node, low: set[int]) -> set[int]:
+    """Identities of the branches in which every node is in ``low``.
+
+    An article is none of them, and holds none if nothing in it is important.
+    """
+    order = _in_order(root)
     poor: set[int] = set()
+    holds: set[int] = set()  # what an article is in
     for node in reversed(order):  # children come before their parents
-        if node.main < 2 and _signed(node.path) in low:
-            if all(isinstance(k, str) or k.noise or id(k) in poor for k in node.kids):
-                poor.add(id(node))
+        if node.up and (node.main == 2 or id(node) in holds):
+            holds.add(id(node.up))
+        if _signed(node.path) in low and all(isinstance(k, str) or k.noise or id(k) in poor for k in node.kids):
+            poor.add(id(node))
+    whole: set[int] = set()  # articles that repeat as they are, and what is in them
+    for node in order:
+        if node.main == 2 and (id(node) in poor if node.up.main < 2 else id(node.up) in whole):
+            whole.add(id(node))
+    for node in order:
+        if node.main == 2 and (id(node) in whole or node.tag not in BLOCKS or node.up.main < 2):
+            poor.discard(id(node))
+        elif node.main < 2 and id(node) in holds:
+            poor.discard(id(node))
     return poor
 
 
-def page_text(page: str, low: set[int]) -> str:
+def _important(root: Node, high: set[int], inside: int) -> set[int]:
+    """Identities of the nodes outside the article whose own text stays.
+
+    Beside the article a branch stays whole if one of its nodes is in ``high``; of what contains the
+    article, each node answers for its own text.
+    """
+    order = _in_order(root)
+    holds: set[int] = set()
+    rich: set[int] = set()
+    for node in reversed(order):
+        if node.main >= inside or id(node) in holds:
+            holds.add(id(node))
+            if node.up:
+                holds.add(id(node.up))
+        elif _signed(node.path) in high or id(node) in rich:
+            rich.add(id(node))
+            if node.up:
+                rich.add(id(node.up))
+    kept: set[int] = set()
+    for node in order:
+        if id(node) in holds:
+            if _signed(node.path) in high:
+                kept.add(id(node))
+        elif id(node) in rich if id(node.up) in holds else id(node.up) in kept:
+            kept.add(id(node))
+    return kept
+
+
+def page_text(page: str, low: set[int], high: Collection[int] = ()) -> str:
     """Blocks of the page's main text, without declared noise and branches of paths in ``low`` only.
 
-    A page of which nothing would be left is given without the cuts.
+    Beside an article only branches with a path in ``high`` count. A page of which nothing would be left is given without the cuts.
     """
-    return _blocks(page, low) or (_blocks(page, set()) if low else "")
+    return _blocks(page, low, high) or (_blocks(page, set(), high) if low else "")
 
 
-def _blocks(page: str, low: set[int]) -> str:
+def _blocks(page: str, low: set[int], high: Collection[int]) -> str:
     root = parse(page)
     poor = _unimportant(root, low) if low else set()
     inside = _has_main(root)
+    extra = _important(root, high, inside) if high and inside else set()
     blocks: list[str] = []
     line: list[str] = []
 
@@ -226,7 +286,7 @@ def _blocks(page: str, low: set[int]) -> str:
                 flush()
         else:
             kids = node.kids
-            if node.main < inside:  # outside the article only containers count
+            if node.main < inside and id(node) not in extra:  # only what it contains counts
                 kids = [k for k in kids if not isinstance(k, str)]
             if node.tag in BLOCKS or node.tag == "#page":
                 flush()
@@ -255,7 +315,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance); entropies are relative to the number of pages, in [0, 1].
+    """(host, path, pages, importance, outside); entropies are relative to the number of pages, in [0, 1].
 
     Pages of a host with the same nodes count once, however often they repeat: each gives one row
     with its digest, and copies are combined before the shuffle.
@@ -268,38 +328,43 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 rows = [np.array(tree_rows(page.as_py() or ""), np.int64) for page in part.column(1)]
                 digests = pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in rows], pa.binary())
                 flat = np.concatenate(rows)
-                cols = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)]
+                cols = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)]
                 ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, ["path", "look", "words"]))
+                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, ["path", "look", "words", "outside"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), digests, nodes], ["host", "page", "nodes"])
 
     slim = pages.select(host_of(F.col("url")).alias("host"), "html")
-    each = slim.mapInArrow(run, "host string, page binary, nodes array<struct<path: long, look: long, words: long>>")
+    each = slim.mapInArrow(run, "host string, page binary, nodes array<struct<path: long, look: long, words: long, outside: long>>")
     each = each.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
     seen = each.select("host", F.inline("nodes"))
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("look", "words"))]
-    each = seen.select("host", "path", F.explode(F.array(*kinds)).alias("of"))
-    counts = each.groupBy("host", "path", "of.kind", "of.value").agg(F.count("*").alias("n"))
+    each = seen.select("host", "path", "outside", F.explode(F.array(*kinds)).alias("of"))
+    counts = each.groupBy("host", "path", "of.kind", "of.value").agg(F.count("*").alias("n"), F.max("outside").alias("outside"))
     m = F.sum("n")
     entropy = F.when(m > 1, (F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(m)).otherwise(F.lit(1.0))
-    spread = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("h"))
+    spread = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("h"), F.max("outside").alias("outside"))
     share = F.when(F.col("kind") == 0, 1 - GAMMA).otherwise(GAMMA)
-    return spread.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.sum(share * F.col("h")).alias("importance"))
+    return spread.groupBy("host", "path").agg(
+        F.max("pages").alias("pages"), F.sum(share * F.col("h")).alias("importance"), F.max("outside").alias("outside")
+    )
 
 
 def extract_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row of ``pages``: page_id, url, text."""
     session(pages)
     known = style_tree(pages)
-    low = known.where((F.col("pages") >= min_pages) & (F.col("importance") < least))
-    low = stored(low.groupBy("host").agg(F.collect_set("path").alias("low")), "unimportant")
+    poor = F.col("importance") < least
+    told = known.where((F.col("pages") >= min_pages) & (poor | (F.col("outside") > 0)))
+    sets = [F.collect_set(F.when(poor, F.col("path"))).alias("low"), F.collect_set(F.when(~poor, F.col("path"))).alias("high")]
+    told = stored(told.groupBy("host").agg(*sets), "importance")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    few = (low.agg(F.sum(F.size("low"))).head()[0] or 0) <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(low) if few else low, "host", "left").select("page_id", "url", "html", "low")
+    few = (told.agg(F.sum(F.size("low") + F.size("high"))).head()[0] or 0) <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(told) if few else told, "host", "left").select("page_id", "url", "html", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [page_text(h.as_py() or "", set(c.as_py() or ())) for h, c in zip(batch.column(2), batch.column(3))]
+            told = zip(*(batch.column(k) for k in (2, 3, 4)))
+            texts = [page_text(h.as_py() or "", set(c.as_py() or ()), set(k.as_py() or ())) for h, c, k in told]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -250,10 +250,25 @@ def test_copies_of_a_page_keep_its_text(spark):
     got = collections.Counter((r.url, r.text) for r in html_text.extract_text(spark.createDataFrame(rows, PAGE)).collect())
     assert got == collections.Counter((u, f"part {i % 2}" if u is None else re.sub("<[^>]*>", "", h).replace("rest", "\n\nrest")) for i, u, h in rows)
     page = plain(0)
-    every = {path for path, _, _ in html_text.tree_rows(page)}
+    every = {path for path, *_ in html_text.tree_rows(page)}
     assert html_text.page_text(page, every) == html_text.page_text(page, set()) != ""
 
 
+def test_style_tree_decides_on_article_pages(spark):
+    page = lambda i: (
+        f"<body><div class='x1'>Lead <b>{i}</b><p>of story {i * 3}</p></div><div class='x2'>All rights belong to us</div>"
+        f"<article><h1>Title {i}</h1><p>story {i} <i>again</i></p><div class='x3'><p>Read us <i>daily</i></p></div></article>"
+    )
+    alike = "<body><article><p>one text</p></article><div class='x4'>{}</div>"
+    rows = [(i, "http://h.org/", page(i)) for i in range(20)] + [(50, "http://few.org/", page(1))]
+    rows += [(100 + i, "http://same.org/", alike.format(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGE)).collect()}
+    for i in range(20):
+        assert got[i] == f"Lead {i}\n\nof story {i * 3}\n\nTitle {i}\n\nstory {i} again"
+        assert got[100 + i] == f"one text\n\n{i}"
+    assert got[50] == html_text.page_text(page(1), set()) == "Title 1\n\nstory 1 again\n\nRead us daily"
+
+
 # -- urls
 
 
