@@ -23,6 +23,8 @@ from skimdex.operators.search import search_topk
 
 #: cell of rows that were not assigned yet: every search looks there
 UNPLACED = -2
+#: cells searched first for a bound on the last hit, and what rounding may add to an angle
+LEAD_CELLS, ANGLE_SLACK = 8, 1e-5
 CENTROIDS = T.StructType(
     [T.StructField("cell", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))]
 )
@@ -129,6 +131,37 @@ def probed(
     return indexed.where(F.col("cell").isin([*probe_cells(centroids, query, nprobe), UNPLACED]))
 
 
+def cell_radii(indexed: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(cell, radius): the largest angle between a row of a cell and its centroid."""
+    away = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_similarity(F.col("vector"), F.col("centroid")))))
+    return indexed.join(centroids, "cell").groupBy("cell").agg(F.max(away).alias("radius"))
+
+
+def probed_exactly(
+    indexed: DataFrame, centroids: DataFrame, radii: DataFrame, query: list[float], k: int
+) -> DataFrame:
+    """The rows of every cell that may hold one of the ``k`` nearest, and unplaced ones.
+
+    No row of a cell is nearer in angle than the centroid less the cell's radius. The cells with the
+    least such bounds are searched for ``k`` hits, and cells whose bound exceeds the last hit are pruned.
+    """
+    target = F.array(*[F.lit(float(x)) for x in query])
+    away = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_similarity(F.col("centroid"), target))))
+    bounds = centroids.where(F.size("centroid") == len(query)).join(radii, "cell")
+    bounds = bounds.select("cell", away.alias("away"), F.greatest(F.lit(0.0), away - F.col("radius")).alias("bound"))
+    bounds = bounds.where("away IS NOT NULL")
+    lead = [r.cell for r in bounds.orderBy("bound", "away", "cell").limit(LEAD_CELLS).collect()]
+    if not lead:  # a query of another width, or nothing laid out
+        return indexed
+    hits = search_topk(indexed.where(F.col("cell").isin([*lead, UNPLACED])), query, k)
+    last = hits.agg(F.count("*").alias("n"), F.acos(F.greatest(F.lit(-1.0), 1.0 - F.max("distance"))).alias("away")).head()
+    if last.n < k:
+        return indexed
+    # rounding may lift a cosine above one, whose angle is zero
+    reach = (0.0 if last.away is None or last.away != last.away else last.away) + ANGLE_SLACK
+    return indexed.where(F.col("cell").isin([*[r.cell for r in bounds.where(F.col("bound") <= reach).collect()], UNPLACED]))
+
+
 def search_ann(
     indexed: DataFrame, centroids: DataFrame, query: list[float], k: int, nprobe: int
 ) -> DataFrame:

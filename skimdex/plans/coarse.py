@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.vectors import dot
-from skimdex.operators.ann import UNPLACED, assign_cells, train_centroids
+from skimdex.operators.ann import UNPLACED, assign_cells, cell_radii, train_centroids
 from skimdex.session import path_is_missing
 from skimdex.sources.tables import IndexStore
 
 #: k-means sees at least all rows of a small table and about so many rows per cell of a large one
 TRAIN_ROWS_PER_CELL = 1000
 SLIM = ("id", "file_path", "chunk_index", "vector", "gen")
+RADII = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
 DONE = T.StructType([T.StructField("upto", T.LongType())])
 
 
@@ -67,9 +68,25 @@ class CoarseIndex:
         # the hint gathers a cell's rows and lets adaptive execution split a cell that holds many
         laid_out = assign_cells(fresh, centroids).hint("rebalance", "cell")
         laid_out.write.mode("overwrite").partitionBy("cell").parquet(f"{home}/cells/upto={now.gen}")
+        fields = T.StructType([*(f for f in fresh.schema if f.name == "vector"), RADII["cell"]])
+        written = self.spark.read.schema(fields).parquet(f"{home}/cells/upto={now.gen}")
+        radii = cell_radii(written, centroids)
+        radii.coalesce(1).write.mode("overwrite").parquet(f"{home}/radii/upto={now.gen}")
         self.spark.createDataFrame([(now.gen,)], DONE).coalesce(1).write.mode("append").parquet(f"{home}/done")
         return True
 
+    def radii(self) -> DataFrame | None:
+        """(cell, radius) over all finished refreshes; None without an index or if one stored none."""
+        base = self.vectors.state().base
+        done = self._done(base)
+        try:
+            kept = self.spark.read.schema(RADII).parquet(*[f"{self._home(base)}/radii/upto={n}" for n in done]) if done else None
+        except AnalysisException as problem:
+            if not path_is_missing(problem):
+                raise
+            return None
+        return kept.groupBy("cell").agg(F.max("radius").alias("radius")) if done else None
+
     def tables(self) -> tuple[DataFrame, DataFrame] | None:
         """(cells, centroids): every live row with its cell, ``UNPLACED`` where it has none yet; None without an index."""
         now = self.vectors.state()

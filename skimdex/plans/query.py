@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from skimdex.functions.embed import Embedder, HashingEmbedder
-from skimdex.operators.ann import probed
+from skimdex.operators.ann import probed, probed_exactly
 from skimdex.operators.search import DEFAULT_LIMIT, format_results, search_page, with_payload
 from skimdex.plans.coarse import CoarseIndex
 from skimdex.sources.tables import IndexStore
@@ -45,19 +45,25 @@ def search(
     limit: int = DEFAULT_LIMIT,
     embedder: Embedder | None = None,
     centroids: DataFrame | None = None,
-    nprobe: int = 8,
+    nprobe: int | None = None,
 ) -> DataFrame:
     """Validate, embed, fetch one page, de-duplicate and format. An empty table gives no rows.
 
-    A store is searched through its coarse index if it has one, else exactly. With ``centroids``,
-    ``vectors`` are the cells of a coarse index and only the nearest are read.
+    The answer is exact unless ``nprobe`` says how many cells to read. A store with a coarse index
+    leaves out the cells that can hold no hit of the page. With ``centroids``, ``vectors`` are the cells
+    of a coarse index.
     """
     rows = cells = vectors
+    radii = None
     if isinstance(vectors, IndexStore):
         rows = cells = vectors.vectors.read()
-        cells, centroids = CoarseIndex(vectors).tables() or (rows, None)
+        index = CoarseIndex(vectors)
+        cells, centroids = index.tables() or (rows, None)
+        radii = index.radii() if nprobe is None else None
     query = query_vector(rows.sparkSession, kind, text, image_path, embedder)
-    if centroids is not None:
+    if centroids is not None and radii is not None:
+        cells = probed_exactly(cells, centroids, radii, query, offset + limit)
+    elif centroids is not None and nprobe is not None:
         cells = probed(cells, centroids, query, nprobe)
     page = search_page(cells, query, offset, limit)
     return format_results(with_payload(page, rows))

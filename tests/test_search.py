@@ -145,6 +145,36 @@ def test_probing_prunes_cells_from_the_scan(spark, cloud, folder):
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
 
 
+def test_search_of_a_store_is_exact_and_prunes(spark, folder):
+    from skimdex.plans.coarse import CoarseIndex
+    from skimdex.plans.query import search as search_store
+    from skimdex.sources.tables import IndexStore
+
+    rng = np.random.default_rng(5)
+    width = 64
+    spots = rng.normal(size=(24, width))
+    points = (np.repeat(spots, 20, axis=0) + 0.1 * rng.normal(size=(480, width))).astype(np.float32)
+    rows = [(f"v{i:03d}", f"f{i}", 0, "text", v.tolist(), "{}") for i, v in enumerate(points)]
+    store = IndexStore(spark, folder)
+    store.vectors.upsert(spark.createDataFrame(rows, VECTORS))
+    index = CoarseIndex(store)
+    index.refresh(24, iterations=5)
+    cells, centroids = index.tables()
+    for query, k in ((points[7], 5), (spots[3] + spots[4], 30)):
+        asked = [float(x) for x in query]
+        read = ann.probed_exactly(cells, centroids, index.radii(), asked, k)
+        assert [r.id for r in search.search_topk(read, asked, k).collect()] == brute(points, asked, k)
+    few = ann.probed_exactly(cells, centroids, index.radii(), points[7].tolist(), 5)
+    assert 5 <= few.count() < len(points) / 2
+
+    class Fixed:
+        def embed_batch(self, values):
+            return [spots[3].tolist()]
+
+    page = search_store(store, "text", text="x", limit=400, embedder=Fixed())
+    assert {r.id for r in page.select("id").collect()} == set(brute(points, spots[3], 400))
+
+
 def test_centroids_too_large_to_ship_assign_alike(spark, cloud, folder, monkeypatch):
     vectors = make(spark, [*cloud, None, [0.0] * 8])
     centroids = ann.train_centroids(vectors, 4, iterations=5)
