@@ -1,7 +1,7 @@
 """URL filtering by mined association rules under fixed host rules.
 
 FP-growth runs over the token sets of labelled URLs, each with an item for a bad label. Rules whose
-consequent is that item are pruned by support and confidence and matched through an inverted index:
+consequent is that item are pruned by count and confidence, and where a shorter one implies them, and matched through an inverted index:
 a rule is posted under its rarest token, and a URL that has the token is checked for the others.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is
@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from skimdex.llm.common import ascii_lower, session, small, stored
 
 BAD = "label=bad"
-#: a rule holds for at least this share of the labelled URLs and at least so many of them
-MIN_SUPPORT, MIN_COUNT = 0.001, 10
+#: a rule holds for at least so many of the labelled URLs, whatever their number
+MIN_COUNT = 10
 MIN_CONFIDENCE = 0.6
-#: most tokens of an antecedent
-MAX_TOKENS = 3
 
 
 def host_of(url: Column) -> Column:
@@ -56,22 +54,23 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE
+    labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows of (tokens, bad)."""
+    """(rule_id, tokens, confidence, support) from rows of (tokens, bad), without rules that a shorter one implies."""
     baskets = F.concat("tokens", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
     baskets = stored(labelled.where("bad IS NOT NULL AND tokens IS NOT NULL").select(baskets.alias("items")), "baskets")
     n = baskets.count()
     if not n:
         schema = "rule_id long, tokens array<string>, confidence double, support double"
         return labelled.sparkSession.createDataFrame([], schema)
-    least = min(1.0, max(min_support, min_count / n))
+    least = min(1.0, min_count / n)
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.array_contains("consequent", BAD))
-    found = found.where(F.size("antecedent") <= MAX_TOKENS)
-    return stored(found.select(
+    found = stored(found.select(
         F.monotonically_increasing_id().alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "support"
     ), "rules")
+    implied = match_rules(found.withColumn("row", F.col("rule_id")), found).where("row <> rule_id")
+    return stored(found.join(implied.select(F.col("row").alias("rule_id")).distinct(), "rule_id", "left_anti"), "rules")
 
 
 def match_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:

@@ -298,6 +298,16 @@ def test_mined_rules(spark):
 # -- quality
 
 
+def test_mined_rules_of_any_length_and_table_size(spark):
+    four = ["h0=a", "h1=b", "h2=c", "p0=d"]
+    rows = [(four, True)] * 20 + [([t for t in four if t != left], False) for left in four for _ in range(30)]
+    many = spark.range(100_000).selectExpr("array(concat('p0=', id % 5), 'h0=com') AS tokens", "false AS bad")
+    spam = spark.range(50).selectExpr("array('h0=com', 'h1=spam') AS tokens", "true AS bad")
+    frame = spark.createDataFrame(rows, "tokens array<string>, bad boolean").union(many).union(spam)
+    got = sorted(sorted(r.tokens) for r in url_rules.mine_rules(frame).collect())
+    assert got == [four, ["h1=spam"]]
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op6_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
