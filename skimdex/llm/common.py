@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: small tables up to this many rows are broadcast; larger ones are shuffled
 BROADCAST_ROWS = 200_000
+#: tables whose bytes were added up are broadcast up to this size
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -38,6 +40,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shippable(df: DataFrame, room: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, written as text, take at most ``room`` bytes; else without.
+
+    A cheap table for which this is asked twice should be stored first.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0
+    return F.broadcast(df) if size <= room else df
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no group of ``keys`` is cut between two tables.
 

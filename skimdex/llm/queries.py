@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimdex.llm import chat, decontaminate, exact_dedup, html_text, mixing, pii, quality, simhash, url_rules, warc
+from skimdex.llm import chat, decontaminate, exact_dedup, html_text, merkle, mixing, pii, quality, simhash, url_rules, warc
 from skimdex.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ def op10_chat(spark, sf):
     )
     rows = turns.select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.format_windows(rows))
+
+
+@register
+def op11_merkle(spark, sf):
+    docs = table(spark, sf, "documents")
+    return merkle.manifest(docs, merkle.lowered_text(docs))
