@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimdex.llm import chat, decontaminate, exact_dedup, html_text, merkle, mixing, pii, quality, simhash, url_rules, warc
+from skimdex.llm import chat, decontaminate, exact_dedup, html_text, licenses, merkle, mixing, pii, quality, simhash, url_rules, warc, whitening
 from skimdex.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,13 @@ def op10_chat(spark, sf):
 def op11_merkle(spark, sf):
     docs = table(spark, sf, "documents")
     return merkle.manifest(docs, merkle.lowered_text(docs))
+
+
+@register
+def op12_licenses(spark, sf):
+    return licenses.summarise(table(spark, sf, "documents")).drop("found")
+
+
+@register
+def op13_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
