@@ -163,6 +163,13 @@ PROBED = """pb AS (SELECT query_id, cell FROM (SELECT id AS query_id, cell, row_
 NEAR = """nr AS (SELECT * FROM (SELECT pr.query_id, pr.id, c,
   CAST(row_number() OVER (PARTITION BY pr.query_id ORDER BY round(c, 12) DESC, pr.id) AS INT) AS rank
   FROM pr JOIN cl ON cl.id = pr.id JOIN pb ON pb.query_id = pr.query_id AND pb.cell = cl.cell) WHERE rank <= 10)"""
+HASHED = """pl AS (SELECT t, b, list(CASE WHEN md5('7:' || t || ':' || b || ':' || d) >= '8' THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY d) AS p
+  FROM range(2) AS a(t), range(8) AS e(b), range(64) AS g(d) GROUP BY t, b),
+mg AS (SELECT id, vec_id, t, b, list_dot_product(vector::DOUBLE[], p) AS m, list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) AS l FROM v, pl),
+sc AS (SELECT x.id AS query_id, y.id, x.t, sum(CASE WHEN (x.m > 0) <> (y.m > 0) THEN x.m * x.m / x.l ELSE 0 END) AS s,
+  sum(x.m * x.m / x.l) AS most FROM mg x JOIN mg y ON x.t = y.t AND x.b = y.b WHERE x.vec_id % 100 = 0 AND x.id <> y.id GROUP BY ALL),
+met AS (SELECT query_id, v.id, v.file_path, v.chunk_index, list_cosine_similarity(w.vector::DOUBLE[], v.vector::DOUBLE[]) AS c
+  FROM (SELECT DISTINCT query_id, id FROM sc WHERE round(s, 9) <= 0.25 * most) AS f JOIN v ON v.id = f.id JOIN v AS w ON w.id = f.query_id)"""
 DIFF = """df AS (SELECT file_path, CASE WHEN m.file_hash IS NULL THEN 'new' WHEN c.file_hash IS NULL THEN 'deleted'
   WHEN c.file_hash <> m.file_hash THEN 'modified' ELSE 'unchanged' END AS change_type,
   m.file_hash AS old_hash, c.file_hash AS new_hash FROM cur c FULL JOIN meta m USING (file_path))"""
@@ -325,6 +332,14 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
   {BAND.format('c')} AS band, CASE WHEN coalesce(text, '') <> '' THEN left(text, 200) END AS text_preview,
   CAST(NULL AS VARCHAR) AS exif FROM page LEFT JOIN documents ON doc_id = vec_id WHERE fr = 1""",
         "knn_join": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
+        "knn_cells": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
+        "knn_codes": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
+        "search_codes": _with(V, Q, SCORED)
+        + f"""SELECT id, file_path, {SCORE} AS score, CAST(row_number() OVER (ORDER BY round(c, 12) DESC, id) AS INT) AS rank
+  FROM s ORDER BY rank LIMIT 50""",
+        "hash_index_neighbors": _with(V, HASHED)
+        + f"""SELECT query_id, rank, id, file_path, chunk_index, {SCORE} AS score FROM (SELECT *,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS INT) AS rank FROM met) WHERE rank <= 10""",
         "build_coarse_index": _with(V, CENTROIDS, CELLS) + "SELECT id, cell FROM cl",
         "build_coarse_index_kmeans": """SELECT count(*) AS n_rows, count(*) AS n_nearest,
   count(DISTINCT vec_id) AS n_ids FROM embeddings""",

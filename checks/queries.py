@@ -13,7 +13,7 @@ from checks import inputs as I
 from skimdex.functions import paths as P
 from skimdex.functions import text as X
 from skimdex.functions import vectors as V
-from skimdex.operators import ann, chunk, diff, index_rows, knn, maintain, media, model_io, search, upsert
+from skimdex.operators import ann, bounded, chunk, diff, hash_index, index_rows, knn, maintain, media, model_io, search, upsert
 from skimdex.operators.scoring import score_rows
 from skimdex.plans import jobs, query
 from skimdex.plans.coarse import CoarseIndex
@@ -610,6 +610,56 @@ def q_lsh_neighbors(spark, sf):
     return out.select("id", "file_path", _score6())
 
 
+def _every_hundredth(spark, sf) -> DataFrame:
+    return I.vectors(spark, sf).where("vec_id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+@register
+def q_hash_index_neighbors(spark, sf):
+    """A stored hash index of two tables, probed up to a fixed share of the highest score."""
+    index = hash_index.build_hash_index(I.vectors(spark, sf), work_dir(spark, "hashed"), tables=2, bits=8, folder_bits=4)
+    out = index.neighbors(_every_hundredth(spark, sf), 10, reach=0.25, exclude_same_id=True)
+    return out.select("query_id", "rank", "id", "file_path", "chunk_index", _score6())
+
+
+@register
+def q_hash_index_recall(spark, sf):
+    """Share of the exact ten nearest that the index finds with its defaults, per query."""
+    index = hash_index.build_hash_index(I.vectors(spark, sf), work_dir(spark, "hashed"))
+    asked = _every_hundredth(spark, sf)
+    exact = knn.knn_join(asked, I.vectors(spark, sf).select("id", "file_path", "vector"), 10, exclude_same_id=True)
+    return ann.ann_recall(index.neighbors(asked, 10, exclude_same_id=True), exact, 10)
+
+
+@register
+def q_knn_cells(spark, sf):
+    """Cells are left out by the triangle inequality alone, so the answer is that of the plain join."""
+    cells, centroids = _indexed(spark, sf)
+    asked = I.vectors(spark, sf).select(F.col("id").alias("query_id"), "vector")
+    out = bounded.knn_cells(asked, cells, centroids, 10, exclude_same_id=True)
+    return out.select("query_id", "rank", "id", "file_path", _score6())
+
+
+@register
+def q_knn_codes(spark, sf):
+    """A scan of codes for a table of queries, with every undecided row looked at in full."""
+    rows = I.vectors(spark, sf).select("id", "file_path", "vector")
+    ranges = bounded.unit_ranges(rows)
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    out = bounded.knn_codes(asked, bounded.quantize_units(rows, ranges), rows, ranges, 10, exclude_same_id=True)
+    return out.select("query_id", "rank", "id", "file_path", _score6())
+
+
+@register
+def q_search_codes(spark, sf):
+    """As above for one query, with two rows a thousand times as long as the others."""
+    long = F.transform("vector", lambda x: x * 1000)
+    rows = I.vectors(spark, sf).withColumn("vector", F.when(F.col("vec_id") < 2, long).otherwise(F.col("vector")))
+    ranges = bounded.unit_ranges(rows)
+    hits = bounded.search_codes(bounded.quantize_units(rows, ranges), rows, ranges, I.QUERY, 50)
+    return hits.select("rank", "id", "file_path", _score6())
+
+
 # -- text to vectors -----------------------------------------------------------------------------
 
 

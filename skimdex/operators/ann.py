@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,12 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.vectors import cosine_similarity, dot
+from skimdex.operators.intervals import COSINE_SLACK, scan_intervals
 from skimdex.operators.knn import BROADCAST_BYTES, GRID_BYTES, _ranked, blocked_topk, knn_join
-from skimdex.operators.scoring import BLOCK_CELLS, COSINE_DECIMALS, partition_topk, payload_schema, unit_rows, usable_slices
+from skimdex.operators.scoring import BLOCK_CELLS, COSINE_DECIMALS, unit_rows, usable_slices
 from skimdex.operators.search import search_topk
+from skimdex.session import work_dir
 
 #: cell of rows that were not assigned yet: every search looks there
 UNPLACED = -2
+#: names of rows that may be broadcast
+SHIPPED_ROWS = 10_000
 #: cells searched first for a bound on the last hit, and what rounding may add to an angle
 LEAD_CELLS, ANGLE_SLACK = 8, 1e-5
 CENTROIDS = T.StructType(
@@ -31,7 +32,8 @@ CENTROIDS = T.StructType(
 
 
 def _usable(vector: Column) -> Column:
-    return dot(vector, vector) > 0.0
+    square = dot(vector, vector)
+    return (square > 0.0) & (square < float("inf"))  # NaN sorts above infinity
 
 
 def _as_rows(centroids: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def dimension_ranges(vectors: DataFrame) -> DataFrame:
 def quantize_sq8(vectors: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Replace ``vector`` by ``code``: one byte per dimension, scaled to that dimension's range.
 
-    Rows of another width than the ranges have no code.
+    Rows of another width than the ranges, or with entries that are no numbers, have no code.
     """
     bounds = (dimension_ranges(vectors) if ranges is None else ranges).head()
     if bounds is None or bounds.low is None:
@@ -217,47 +219,51 @@ def quantize_sq8(vectors: DataFrame, ranges: DataFrame | None = None) -> DataFra
     def encode(vectors: pa.Array) -> pa.Array:
         out = np.full(len(vectors), None, dtype=object)
         for rows, values in usable_slices(vectors, len(low)):
-            steps = np.floor((values - low) * 255.0 / scale + 0.5)
-            codes = np.clip(np.nan_to_num(steps), 0, 255).astype(np.uint8)
-            out[rows] = [code.tobytes() for code in codes]
+            whole = np.isfinite(values).all(axis=1)
+            steps = np.floor((values[whole] - low) * 255.0 / scale + 0.5)
+            codes = np.clip(steps, 0, 255).astype(np.uint8)
+            out[rows[whole]] = [code.tobytes() for code in codes]
         return pa.array(out, pa.binary())
 
     code = F.arrow_udf(encode, T.BinaryType())(F.col("vector"))
     return vectors.withColumn("code", code).drop("vector")
 
 
-def search_sq8(
-    coded: DataFrame, vectors: DataFrame, ranges: DataFrame, query: list[float], k: int, factor: int = 4
-) -> DataFrame:
-    """Top-k by scanning codes, a byte per dimension, and reranking the best ``k * factor`` exactly.
+def search_sq8(coded: DataFrame, vectors: DataFrame, ranges: DataFrame, query: list[float], k: int) -> DataFrame:
+    """Exact top-k by a scan of codes, a byte per dimension, and a second look at every undecided row.
 
-    ``coded`` comes from ``quantize_sq8(vectors, ranges)``. Exact unless a true hit falls behind
-    ``k * factor`` rows by its code; only the rows that are reranked are taken from ``vectors``.
+    ``coded`` comes from ``quantize_sq8(vectors, ranges)``, and the ranges cover the vectors: a row then
+    lies within half a step of its decoded code in each dimension, so the angle between the two is
+    bounded, and its cosine with the query lies in an interval. Rows whose interval reaches the k-th best
+    lower end are joined with their vectors, by the plan that their number allows.
     """
     bounds = ranges.head()
     if bounds is None or bounds.low is None or len(bounds.low) != len(query):
         return search_topk(vectors, query, k)
     low, high = np.asarray(bounds.low), np.asarray(bounds.high)
     step = np.where(high > low, high - low, 0.0) / 255.0
-    asked = np.asarray(query, dtype=np.float64)[None, :]
-    source = coded.select("id", "file_path", F.col("code").alias("vector"))
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = max(1, BLOCK_CELLS // len(low))
-        for batch in batches:
-            batch = batch.filter(pc.equal(pc.binary_length(batch.column("vector")), len(low)))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                codes = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.uint8).reshape(-1, len(low))
-                lists = pa.FixedSizeListArray.from_arrays(pa.array((low + codes * step).ravel()), len(low))
-                vector = lists.cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], vector], ["id", "file_path", "vector"])
-
-    found = source.mapInArrow(lambda it: partition_topk(decoded(it), asked, k * factor), payload_schema(source))
-    near = found.orderBy(F.desc(F.round("_cos", COSINE_DECIMALS)), "id", "file_path").limit(k * factor)
-    names = near.select(F.col("id").alias("_id"), F.col("file_path").alias("_path"))
-    same = (F.col("id") == F.col("_id")) & F.col("file_path").eqNullSafe(F.col("_path"))
-    return search_topk(vectors.join(F.broadcast(names), same, "left_semi"), query, k)  # k * factor slim rows
+    half = float(np.linalg.norm(step)) / 2
+
+    def ends(part: pa.RecordBatch, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, len(low))
+        rows = low + codes * step
+        length = np.linalg.norm(rows, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = np.where(length > half * (1 + 1e-9), np.arcsin(np.minimum(1.0, half / length)), np.pi)[:, None] + ANGLE_SLACK
+            angle = np.arccos(np.clip(np.nan_to_num(rows @ unit.T / length[:, None]), -1.0, 1.0))
+        return np.cos(np.minimum(angle + off, np.pi)), np.cos(np.maximum(angle - off, 0.0))
+
+    found = scan_intervals(coded, ["code"], ends, [""], np.asarray(query, dtype=np.float64)[None, :], k, False)
+    path = work_dir(vectors.sparkSession, "candidates")
+    found.write.parquet(path)
+    found = vectors.sparkSession.read.schema(found.schema).parquet(path)
+    last = found.orderBy(F.desc("lower")).limit(k).agg(F.count("*").alias("n"), F.min("lower").alias("floor")).head()
+    able = found.where(F.col("upper") >= last.floor - COSINE_SLACK) if last.n == k else found
+    names = able.select(F.col("id").alias("_id"), F.col("file_path").alias("_path"))
+    if able.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS:
+        names = F.broadcast(names)
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("file_path").eqNullSafe(F.col("_path"))
+    return search_topk(vectors.join(names, same, "left_semi"), query, k)
 
 
 def lsh_neighbors(

@@ -6,7 +6,7 @@ Vectors reach Python as Arrow batches and are scored as one matrix product per b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +94,13 @@ def partition_topk(
     k: int,
     query_ids: list[str] | None = None,
     probes: dict[int, np.ndarray] | None = None,
+    allowed: Callable[[pa.RecordBatch], np.ndarray] | None = None,
 ) -> Iterator[pa.RecordBatch]:
     """Top-k per query over one partition.
 
     ``query_ids`` excludes a row from the query that carries the same id. ``probes`` maps a cell to
-    the queries that look into it; rows of other cells are not scored for a query.
+    the queries that look into it; rows of other cells are not scored for a query. ``allowed`` says
+    for rows x queries which may meet; columns that start with an underscore serve it alone.
     """
     n_queries, dim = query_rows.shape
     queries = unit_rows(query_rows)
@@ -109,11 +111,11 @@ def partition_topk(
     top = TopK(n_queries, k)
     kept: list[str] = []
 
-    def score(part: pa.RecordBatch, wanted: np.ndarray) -> None:
+    def score(part: pa.RecordBatch, wanted: np.ndarray, meet: np.ndarray | None = None) -> None:
         for rows, values in usable_slices(part.column("vector"), dim):
-            offer(part.select(kept).take(pa.array(rows)), unit_rows(values), wanted)
+            offer(part.select(kept).take(pa.array(rows)), unit_rows(values), wanted, None if meet is None else meet[rows])
 
-    def offer(payload: pa.RecordBatch, block: np.ndarray, wanted: np.ndarray) -> None:
+    def offer(payload: pa.RecordBatch, block: np.ndarray, wanted: np.ndarray, meet: np.ndarray | None) -> None:
         width = max(1, BLOCK_CELLS // max(1, len(block)))
         ids = payload.column("id").to_pylist() if column_of else []
         own = [(i, j) for i, rid in enumerate(ids) for j in column_of.get(rid, ())]
@@ -125,10 +127,20 @@ def partition_topk(
                 for i, j in own:
                     if j in place:
                         cosines[i, place[j]] = -np.inf
+            if meet is not None:
+                cosines[~meet[:, chosen]] = -np.inf
             top.offer(cosines, chosen, payload)
 
     for batch in batches:
-        kept = [n for n in batch.schema.names if n not in ("vector", "cell")]
+        kept = [n for n in batch.schema.names if n not in ("vector", "cell") and n[0] != "_"]
+        if allowed is not None:
+            step = max(1, BLOCK_CELLS // max(1, n_queries))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                meet = allowed(part)
+                some = meet.any(axis=1)
+                score(part.filter(pa.array(some)), everyone, meet[some])
+            continue
         if probes is None:
             score(batch, everyone)
             continue
@@ -144,7 +156,7 @@ def partition_topk(
 
 def payload_schema(df: DataFrame) -> T.StructType:
     """Schema of ``partition_topk`` output for an input frame."""
-    kept = [f for f in df.schema.fields if f.name not in ("vector", "cell")]
+    kept = [f for f in df.schema.fields if f.name not in ("vector", "cell") and f.name[0] != "_"]
     return T.StructType(
         [T.StructField("_q", T.IntegerType()), *kept, T.StructField("_cos", T.DoubleType())]
     )
