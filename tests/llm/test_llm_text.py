@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import struct
+import time
 
 import pytest
 import zstandard
@@ -308,6 +310,54 @@ def test_mined_rules_of_any_length_and_table_size(spark):
     assert got == [four, ["h1=spam"]]
 
 
+def blocked_by_all_subsets(labelled, asked, least=10, confidence=0.6):
+    """Every token set of the bad rows, counted over all rows; a row is blocked if it holds a certain one."""
+    counts = collections.Counter()
+    for tokens, bad in labelled:
+        if bad:
+            some = sorted(set(tokens))
+            counts.update(c for n in range(1, len(some) + 1) for c in itertools.combinations(some, n))
+    certain = []
+    for c, n in counts.items():
+        if n >= least and n / sum(set(c) <= set(tokens) for tokens, _ in labelled) >= confidence:
+            certain.append(set(c))
+    return [any(c <= set(tokens) for c in certain) for tokens in asked]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mined_verdicts_equal_all_subsets(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(8)]
+    labelled = []
+    for _ in range(240):
+        tokens = [w for w in words if rng.random() < 0.45] + ["com"]
+        if "w1" in tokens:
+            tokens.append("w1twin")  # always together
+        bad = {"w1", "w2", "w3"} <= set(tokens) or (rng.random() < 0.25 + 0.35 * ("w5" in tokens))
+        labelled.append((tokens, bad))
+    asked = [[w for w in [*words, "w1twin", "com", "other"] if rng.random() < 0.5] for _ in range(200)]
+    rules, items = url_rules._mined(spark.createDataFrame(labelled, "tokens array<string>, bad boolean"), 10, 0.6)
+    rows = spark.createDataFrame(list(enumerate(asked)), "row long, tokens array<string>")
+    hit = {r.row for r in url_rules.match_rules(url_rules._with_items(rows, items), rules).collect()}
+    assert [i in hit for i in range(200)] == blocked_by_all_subsets(labelled, asked)
+    sets = [set(r.tokens) for r in rules.collect()]
+    assert not any(a < b for a in sets for b in sets)  # no rule that a shorter one implies
+
+
+def test_deep_paths_are_mined_in_seconds(spark):
+    deep = "/".join(f"part{chr(97 + i)}" for i in range(25))
+    rows = [(i, f"http://bad.example/{deep}/{i}") for i in range(20)] + [(20 + i, f"http://good.example/news/{i + 20}") for i in range(60)]
+    rows += [(90 + i, f"http://both.example/{deep}x/{i % 2}/{90 + i}") for i in range(80)]
+    labels = [(i, int(i >= 20 and not 90 <= i < 120), 0) for i in range(170)]
+    frame = spark.createDataFrame([(i, u, "") for i, u in rows], PAGE)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    start = time.monotonic()
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(frame, [], table).collect()}
+    assert time.monotonic() - start < 60
+    assert all(got[i] == "block" for i in range(20)) and all(got[i] == "allow" for i in range(20, 80))
+    assert url_rules.filter_urls(frame, [], table.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op6_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
