@@ -6,7 +6,8 @@ shuffle by document serves prefix sums, order and digests.
 
 Base kinds (email, ip, card, phone) are kept exactly when their check passes. The further kinds are
 kept from a score of ``KEEP`` on: an IBAN confirmed by mod-97, and a national number of the form
-ddd-dd-dddd, which no checksum confirms, only next to one of its context words.
+ddd-dd-dddd, which no checksum confirms, only next to one of its context words. A context word counts
+when it lies within ``NEAR`` code points of the text before or after a span, other matches included.
 
 Defined results: null texts count as empty; rows that repeat a doc_id give one result each; overlaps
 between kinds are all reported; an empty table gives an empty result; other columns are ignored.
@@ -43,25 +44,53 @@ CONTEXT = {
     "ssn": "ssn|social|security|national|id",
 }
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
-NEAR, BONUS, KEEP = 40, 0.3, 0.5
+NEAR, BONUS, KEEP = 100, 0.3, 0.5
+#: code points that a match of the kind has at least: so many neighbours fill the context
+SHORTEST = {"email": 5, "ip": 7, "card": 2, "phone": 3, "iban": 12, "ssn": 11}
+SPAN = "struct<kind: int, idx: int, ahead: int, ok: boolean, heard: boolean, value: string>"
 
 
 def _proposals(text: Column, number: int, kind: str) -> Column:
-    """Array of (kind, idx, ahead, near, value): ``ahead`` is the length of the piece before a match."""
+    """Array of SPAN: ``ahead`` is the length of the piece before a match, ``heard`` a context word near it."""
     pattern = PATTERNS[kind]
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    rows = F.transform(
-        F.arrays_zip(values.alias("value"), F.slice(pieces, 1, F.size(values)).alias("piece")),
-        lambda r, i: F.struct(
-            F.lit(number).alias("kind"), i.alias("idx"), F.length(r["piece"]).alias("ahead"),
-            F.right(r["piece"], F.lit(NEAR)).alias("near"), r["value"].alias("value"),
+    # piece, match, piece, ..., piece: what lies further from a match than NEAR is cut off
+    links = F.transform(
+        F.arrays_zip(F.split(text, pattern, -1).alias("piece"), values.alias("value")),
+        lambda z: F.struct(
+            F.length(z["piece"]).alias("ahead"), z["value"].alias("value"),
+            _ends(z["piece"]).alias("piece"), _ends(F.coalesce(z["value"], F.lit(""))).alias("match"),
         ),
     )
+    reach = -(-NEAR // SHORTEST[kind]) + 1
+
+    def judged(chain: Column) -> Column:
+        def one(r: Column, i: Column) -> Column:
+            earlier = F.slice(chain, F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach)))
+            later = F.slice(chain, i + 2, F.lit(reach + 1))
+            before = F.concat(F.array_join(F.transform(earlier, lambda z: F.concat(z["piece"]["tail"], z["match"]["tail"])), ""), r["piece"]["tail"])
+            after = F.array_join(F.transform(later, lambda z: F.concat(z["piece"]["head"], z["match"]["head"])), "")
+            cue = rf"(?i)(?:^|[^\p{{L}}])(?:{CONTEXT[kind]})(?:$|[^\p{{L}}])"
+            heard = F.right(before, F.lit(NEAR)).rlike(cue) | F.left(after, F.lit(NEAR)).rlike(cue)
+            ok = F.coalesce(_valid(kind, r["value"]), F.lit(False))
+            return F.struct(
+                F.lit(number).alias("kind"), i.alias("idx"), r["ahead"].alias("ahead"), ok.alias("ok"),
+                F.when(ok, heard).otherwise(F.lit(False)).alias("heard"), r["value"].alias("value"),
+            )
+
+        return F.filter(F.transform(chain, one), lambda s: s["value"].isNotNull())
+
+    # bound once as a lambda's argument, so that the text is searched once however many matches there are
+    rows = F.element_at(F.transform(F.array(links), judged), 1)
     has = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(has, rows)
 
 
+def _ends(piece: Column) -> Column:
+    """First and last ``NEAR`` code points."""
+    return F.struct(F.left(piece, F.lit(NEAR)).alias("head"), F.right(piece, F.lit(NEAR)).alias("tail"))
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
     order = F.sequence(F.lit(1), F.length(digits))
@@ -86,19 +115,20 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(order, F.lit(0), add) == 1
 
 
-def _valid(kind: Column, value: Column) -> Column:
+def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
-    small_parts = F.forall(
-        F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0")).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")
-    )
     squeezed = F.regexp_replace(value, " ", "")
-    return (
-        F.when(kind == 2, small_parts)
-        .when(kind == 3, F.length(digits).between(14, 19) & luhn(digits))
-        .when(kind == 4, F.length(digits).between(10, 15))
-        .when(kind == 5, F.length(squeezed).between(15, 34) & mod97(squeezed))
-        .otherwise(F.lit(True))
-    )
+    if kind == "ip":
+        return F.forall(
+            F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0")).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")
+        )
+    if kind == "card":
+        return F.length(digits).between(14, 19) & luhn(digits)
+    if kind == "phone":
+        return F.length(digits).between(10, 15)
+    if kind == "iban":
+        return F.length(squeezed).between(15, 34) & mod97(squeezed)
+    return value.isNotNull()
 
 
 def _per_kind(kind: Column, values: dict) -> Column:
@@ -112,20 +142,14 @@ def _scored(docs: DataFrame) -> DataFrame:
     """(row, doc_id, kind, start, end, value, score): kept spans, and one row of kind 0 per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
-    own = F.array(F.struct(
-        F.lit(0).alias("kind"), F.lit(0).alias("idx"), F.lit(0).alias("ahead"), F.lit("").alias("near"), F.lit("").alias("value"),
-    ))
+    own = F.expr(f"array(cast(named_struct('kind', 0, 'idx', 0, 'ahead', 0, 'ok', true, 'heard', false, 'value', '') AS {SPAN}))")
     lists = [F.coalesce(_proposals(F.col("text"), n, k), F.filter(own, lambda x: F.lit(False))) for n, k in enumerate(KINDS, 1)]
     flat = rows.select("row", "doc_id", F.inline(F.concat(own, *lists)))
     order = Window.partitionBy("row", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("ahead") + F.length("value")).over(order)
     flat = flat.repartition("row").withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    heard = F.lit(False)
-    for number, name in enumerate(KINDS, 1):
-        near = F.lower("near").rlike(rf"(?:^|[^\p{{L}}])(?:{CONTEXT[name]})(?:$|[^\p{{L}}])")
-        heard = F.when(F.col("kind") == number, near).otherwise(heard)
-    score = _per_kind(F.col("kind"), SCORES) + F.when(heard, F.lit(BONUS)).otherwise(F.lit(0.0))
-    flat = flat.where((F.col("kind") == 0) | _valid(F.col("kind"), F.col("value")))
+    score = _per_kind(F.col("kind"), SCORES) + F.when(F.col("heard"), F.lit(BONUS)).otherwise(F.lit(0.0))
+    flat = flat.where("ok")
     flat = flat.withColumn("score", F.least(F.lit(1.0), score))
     return flat.where(f"kind <= {BASE} OR score >= {KEEP}")
 

@@ -126,6 +126,32 @@ def test_further_kinds_need_checksum_or_context(spark):
     assert got[2] == [("ssn", "123-45-6789", 0.6)] and got[3] == [] and got[4] == [("iban", "GB82WEST12345698765432", 0.8)]
 
 
+def test_context_on_both_sides_and_across_matches(spark):
+    gap = "word " * 17
+    texts = [
+        "123-45-6789 is my SSN", "SSN: 111-22-3333, 222-33-4444, 333-44-5555", f"SSN {gap}123-45-6789", "x" * 500 + " SSN " + "y " * 60 + "123-45-6789",
+        "123-45-6789" + " z" * 60 + " SSN", "lesson 123-45-6789", "123-45-6789 SSNs", "Ssn:123-45-6789", "é" * 99 + "ssn 123-45-6789",
+        "111-22-3333 " * 20 + "ssn",
+    ]
+    got = collections.Counter()
+    for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), DOC)).collect():
+        got[r.doc_id] += r.kind == "ssn"
+    assert [got[i] for i in range(9)] == [1, 3, 1, 0, 0, 0, 0, 1, 0]
+    assert got[9] == 9  # those whose next 100 code points hold the word as a whole
+
+    # against a reading of the texts themselves
+    rng = random.Random(5)
+    bits = ["ssn", " ", "123-45-6789", ", ", "é", "word " * 9, "id", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(40)) for _ in range(60)]
+    cue = re.compile(r"(?<![^\W\d_])(?:ssn|social|security|national|id)(?![^\W\d_])", re.I)
+    want = collections.Counter()
+    for i, text in enumerate(texts):
+        for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text):
+            want[i] += any(cue.search(side) for side in (text[max(0, m.start() - pii.NEAR) : m.start()], text[m.end() : m.end() + pii.NEAR]))
+    got = collections.Counter(r.doc_id for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), DOC)).collect() if r.kind == "ssn")
+    assert got == +want
+
+
 # -- chat
 
 
