@@ -200,6 +200,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_files": """SELECT doc_id, octet_length(encode(text)) + 1 AS file_size,
   sha256(text || chr(10)) AS file_hash, true AS dated FROM documents""",
+        "scan_image_headers": """SELECT vec_id, CASE WHEN label > 0 THEN label + 1 END AS width,
+  CASE WHEN label > 0 THEN 8 END AS height, CASE WHEN label > 0 THEN 1 END AS channels, label > 0 AS ok
+  FROM embeddings""",
+        "index_folders": """SELECT doc_id, sha256(text || chr(10)) AS file_hash, octet_length(encode(text)) + 1 AS file_size,
+  CAST(0 AS BIGINT) AS changed_again FROM documents""",
         "content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
         "read_text_docs": """SELECT doc_id, CASE WHEN coalesce(toxic, 0) <> 1 THEN text END AS text,
   CASE WHEN toxic = 1 THEN 'invalid UTF-8' END AS error FROM documents LEFT JOIN labels USING (doc_id)""",

@@ -15,10 +15,10 @@ from skimdex.functions import text as X
 from skimdex.functions import vectors as V
 from skimdex.operators import ann, bounded, chunk, diff, hash_index, index_rows, knn, maintain, media, model_io, search, upsert
 from skimdex.operators.scoring import score_rows
-from skimdex.plans import jobs, query
+from skimdex.plans import folders, jobs, query
 from skimdex.plans.coarse import CoarseIndex
 from skimdex.session import configure, spread, work_dir
-from skimdex.sources import files, tables
+from skimdex.sources import files, readers, tables
 from skimdex.streaming.ingest import incremental_index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,15 @@ def q_scan_images(spark, sf):
     return files.scan_images(spark, root).select(vec.alias("vec_id"), "width", "height", "channels", "ok")
 
 
+@register
+def q_scan_image_headers(spark, sf):
+    """Sizes from the first bytes of each file; the paths are listed, not read, by Spark."""
+    root = I.write_image_tree(spark, sf, work_dir(spark, "images"))
+    found = readers.image_headers(files.load_files(spark, [root]).select("file_path", "file_size"))
+    vec = F.regexp_extract("file_path", r"(\d+)\.png$", 1).cast("long")
+    return found.select(vec.alias("vec_id"), "width", "height", "channels", "ok")
+
+
 @register
 def q_scan_vectors(spark, sf):
     root = work_dir(spark, "store")
@@ -793,6 +802,20 @@ def q_incremental_index_job(spark, sf):
     return _final_tables(store)
 
 
+@register
+def q_index_folders(spark, sf):
+    """A tree of files indexed twice: what is indexed, and how many files the second build changed."""
+    root = I.write_text_tree(spark, sf, work_dir(spark, "tree"))
+    store = tables.IndexStore(spark, work_dir(spark, "index"))
+    folders.index_folders(store, [root])
+    again = folders.index_folders(store, [root, f"{root}-missing"]).summary()
+    doc = F.regexp_extract("file_path", r"doc_id=(\d+)/", 1).cast("long")
+    rows = store.meta.read().select(doc.alias("doc_id"), "file_hash", "file_path")
+    seen = folders.listing(store).read().select("file_path", "file_size")
+    changed = F.lit(sum(again.select("new_count", "modified_count", "deleted_count").head()))
+    return rows.join(seen, "file_path").select("doc_id", "file_hash", "file_size", changed.cast("long").alias("changed_again"))
+
+
 @register
 def q_incremental_index_summary(spark, sf):
     """Counts the second of the two runs reports."""
