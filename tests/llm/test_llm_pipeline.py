@@ -8,8 +8,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from skimdex.llm import quality
-from test_llm_dedup import components_slow, fingerprint_slow
+from skimdex.llm import near_texts, quality
+from test_llm_near_texts import roots_slow
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -24,9 +24,10 @@ def exact_slow(rows):
 
 
 def near_slow(rows):
-    fps = [fingerprint_slow(r.text) for r in rows]
+    prints = [near_texts.prints((r.text or "").encode()) for r in rows]  # tested on their own
+    fps = [(int.from_bytes(p[:16], "big"), int.from_bytes(p[16:], "big")) for p in prints]
     best = {}
-    for row, root in zip(rows, components_slow(fps)):
+    for row, root in zip(rows, roots_slow(fps)):
         if root not in best or row.doc_id < best[root].doc_id:
             best[root] = row
     return list(best.values())
