@@ -339,6 +339,8 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
         "knn_join": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
         "knn_cells": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
         "knn_codes": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
+        "product_index_neighbors": _with(V, PAIRS, EXACT)
+        + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex WHERE CAST(substr(query_id, 2) AS BIGINT) % 100 = 0",
         "search_codes": _with(V, Q, SCORED)
         + f"""SELECT id, file_path, {SCORE} AS score, CAST(row_number() OVER (ORDER BY round(c, 12) DESC, id) AS INT) AS rank
   FROM s ORDER BY rank LIMIT 50""",

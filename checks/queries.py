@@ -13,7 +13,7 @@ from checks import inputs as I
 from skimdex.functions import paths as P
 from skimdex.functions import text as X
 from skimdex.functions import vectors as V
-from skimdex.operators import ann, bounded, chunk, diff, hash_index, index_rows, knn, maintain, media, model_io, search, upsert
+from skimdex.operators import ann, bounded, chunk, diff, hash_index, index_rows, knn, maintain, media, model_io, product_codes, search, upsert
 from skimdex.operators.scoring import score_rows
 from skimdex.plans import folders, jobs, query
 from skimdex.plans.coarse import CoarseIndex
@@ -669,6 +669,28 @@ def q_search_codes(spark, sf):
     return hits.select("rank", "id", "file_path", _score6())
 
 
+def _product_index(spark, sf, parts: int) -> tuple[product_codes.ProductIndex, DataFrame]:
+    rows = I.vectors(spark, sf).select("id", "file_path", "vector")
+    return product_codes.build_product_index(rows, work_dir(spark, "products"), I.label_centroids(spark, sf), parts), rows
+
+
+@register
+def q_product_index_neighbors(spark, sf):
+    """Product codes with full intervals, which decide by the vectors wherever a code leaves doubt."""
+    index, rows = _product_index(spark, sf, 32)
+    out = index.neighbors(_every_hundredth(spark, sf), rows, 10, z=8.0, exclude_same_id=True)
+    return out.select("query_id", "rank", "id", "file_path", _score6())
+
+
+@register
+def q_product_index_recall(spark, sf):
+    """Share of the exact ten nearest that sixteen bytes a row find with the default spread, per query."""
+    index, rows = _product_index(spark, sf, 16)
+    asked = _every_hundredth(spark, sf)
+    exact = knn.knn_join(asked, rows, 10, exclude_same_id=True)
+    return ann.ann_recall(index.neighbors(asked, rows, 10, exclude_same_id=True), exact, 10)
+
+
 # -- text to vectors -----------------------------------------------------------------------------
 
 
