@@ -13,7 +13,7 @@ from checks import inputs as I
 from skimdex.functions import paths as P
 from skimdex.functions import text as X
 from skimdex.functions import vectors as V
-from skimdex.operators import ann, bounded, chunk, diff, hash_index, index_rows, knn, maintain, media, model_io, product_codes, search, upsert
+from skimdex.operators import ann, bounded, chunk, diff, graph, hash_index, index_rows, knn, maintain, media, model_io, product_codes, search, upsert
 from skimdex.operators.scoring import score_rows
 from skimdex.plans import folders, jobs, query
 from skimdex.plans.coarse import CoarseIndex
@@ -691,6 +691,14 @@ def q_product_index_recall(spark, sf):
     return ann.ann_recall(index.neighbors(asked, rows, 10, exclude_same_id=True), exact, 10)
 
 
+@register
+def q_neighbor_graph_recall(spark, sf):
+    """Share of every row's exact ten nearest that the refined graph holds."""
+    rows = I.vectors(spark, sf).select("id", "file_path", "vector")
+    exact = knn.knn_join(rows.select(F.col("id").alias("query_id"), "vector"), rows, 10, exclude_same_id=True)
+    return ann.ann_recall(graph.neighbor_graph(rows, 10), exact, 10)
+
+
 # -- text to vectors -----------------------------------------------------------------------------
 
 
