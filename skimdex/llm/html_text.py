@@ -4,19 +4,27 @@ Pages of one host are merged into a style tree. A node of it is a path of tags w
 counts on how many pages it occurs, in which presentations (sequences of child tags) and with which
 contents. Pages that repeat count once. A node that looks alike on all pages has low entropy and matters little; the main text
 varies. A node's own importance mixes both entropies; that of a branch is composed from below, as the
-largest among its nodes on the page at hand. Branches below ``LEAST`` are cut from each page; in an
-article only whole blocks are, since repeated words are part of a sentence, and none where all of the
-article repeats. Of a page with an article, branches outside it stay that the tree finds important on
-at least ``MIN_PAGES`` pages; without such evidence they go. What its tag, role or class declares
-to be a menu, header, footer, sidebar, notice, advert, form, script, style or comment goes always.
+largest among its nodes on the page at hand.
+
+A host's importance of a path is drawn towards that of the same path on all hosts by the weight of
+``EVIDENCE`` pages, and that in turn towards a prior, so a host of few pages borrows what others show
+and no number of pages switches a rule on. The prior and the bar depend on what is known ahead:
+
+* What HTML itself or an unmistakable name declares to be a menu, header, footer, sidebar, advert, form,
+  script, style or reader comment goes always; comments vary like a story, so no entropy finds them.
+* A telling class (``HINT``) is a guess. Inside an article such a branch goes only where the pages
+  confirm it, below ``SURE``; elsewhere it goes unless they refute it.
+* Other branches go below ``LEAST``. In an article only whole blocks do, since repeated words are part of
+  a sentence, and none where all of the article repeats.
+* Beside an article everything goes but branches without a telling class that are sure to matter.
 
 Only node hashes of distinct pages and their counts are gathered: a host of any size is summed by
-(path, presentation) and (path, content) with partial sums in each task, and the pages themselves are never shuffled by host unless the list
-of judged paths outgrows a broadcast.
+(path, presentation) and (path, content) with partial sums in each task, and the pages themselves are
+never shuffled by host unless the list of judged paths outgrows a broadcast.
 
 Defined results: null and empty html give an empty text; unclosed, misnested and cut tags are closed
 where HTML closes them; a null url shares one nameless host; rows may repeat and change nothing for
-others; a page is never cut down to nothing; other columns are ignored.
+others; the tree never cuts a page down to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skimdex.llm.common import BROADCAST_ROWS, session, stored
+from skimdex.llm.common import BROADCAST_ROWS, session, shippable, stored
 
-#: nodes less important than this are cut, once they occur on so many pages of a host
-LEAST, MIN_PAGES = 0.3, 8
+#: nodes less important than this are cut; those that a guess speaks against must reach the other
+LEAST, SURE = 0.3, 0.8
+#: weight, in pages, of what other hosts and the prior say about a path
+EVIDENCE = 4
 #: the share of content against presentation in a node's importance
 GAMMA = 0.9
 
@@ -48,7 +58,7 @@ BLOCKS = set(
 )
 DROPPED = set(
     "head script style noscript template title nav footer aside form button select option textarea iframe object embed svg "
-    "canvas math audio video menu dialog noembed noframes xmp datalist map".split()
+    "canvas audio video menu dialog noembed noframes xmp datalist map".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
@@ -59,9 +69,16 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, {"html"}),
 }
-NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsbygoogle|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|"
-    r"sidebar|side|aside|widgets?|footer|comment|comments|commentlist|reply|replies|respond|disqus|"
+#: names that mean nothing but an advert, a sidebar, a menu or reader comments
+DECLARED = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|adsbygoogle|sponsored|ad[-_](?:slot|box|banner|unit|container|wrapper)|sidebar|navbar|"
+    r"breadcrumbs?|cookie[-_](?:notice|banner|consent|bar))\d*(?:$|\s)|"
+    r"(?:^|[-_\s])(?:comments?|commentlist|disqus)(?:$|[-_\s\d])", re.I
+)
+#: names that tell of noise as often as of a story about it
+HINT = re.compile(
+    r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|"
+    r"sidebar|side|aside|widgets?|footer|reply|replies|respond|"
     r"cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"login|share|sharing|social|related|recommended|toolbar|pagination|pager|skip)(?:$|[-_\s\d])", re.I
 )
@@ -75,10 +92,10 @@ BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "up", "kids")
+    __slots__ = ("tag", "path", "noise", "hint", "main", "up", "kids")
 
-    def __init__(self, tag: str, label: str, up: Node | None, noise: bool, main: int):
-        self.tag, self.up, self.noise, self.main = tag, up, noise, main
+    def __init__(self, tag: str, label: str, up: Node | None, noise: bool, hint: bool, main: int):
+        self.tag, self.up, self.noise, self.hint, self.main = tag, up, noise, hint, main
         self.path = xxhash.xxh64_intdigest(label, up.path if up else 0)
         self.kids: list[Node | str] = []
 
@@ -92,7 +109,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def parse(page: str) -> Node:
     """The element tree of a page."""
-    root = Node("#page", "#page", None, False, 0)
+    root = Node("#page", "#page", None, False, False, 0)
     at = root
     pos, end = 0, len(page)
     while pos < end:
@@ -133,13 +150,16 @@ def parse(page: str) -> Node:
         css = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         role = attrs.get("role", "").lower()
         main = max(at.main, 2 if name == "article" else 1 if name == "main" or role == "main" else 0)
+        named = css if name not in ("html", "body", "article", "main") else ""
         noise = (
             name in DROPPED or role in ROLES or "hidden" in attrs or (name == "header" and not main)
-            or bool(css and name not in ("html", "body", "article", "main") and (NOISE.search(css) or not main and HEADER.search(css)))
+            or bool(named and DECLARED.search(named))
             or (name == "article" and bool(re.search(r"(?:^|[-_\s])(?:comment|reply)", css, re.I)))
         )
+        # a guess covers what is below it, up to an article
+        hint = at.hint and not (main == 2 > at.main) or bool(named and (HINT.search(named) or not main and HEADER.search(named)))
         label = name + ("." + re.sub(r"\d+", "0", css) if css else "")
-        node = Node(name, label, at, noise, main)
+        node = Node(name, label, at, noise, hint, main)
         at.kids.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, pos)
@@ -160,9 +180,10 @@ def _signed(value: int) -> int:
 
 
 def tree_rows(page: str) -> list[tuple[int, int, int, int]]:
-    """(path, presentation, content, outside) of a page's nodes, equal paths taken together.
+    """(path, presentation, content, marks) of a page's nodes, equal paths taken together.
 
-    ``outside`` is 1 for text beside the article of a page that has one.
+    ``marks`` adds 1 for text beside the article of a page that has one, 2 for a telling class on the
+    path and 4 for a path inside an article.
     """
     shapes: dict[int, list] = {}
     root = parse(page)
@@ -170,7 +191,7 @@ def tree_rows(page: str) -> list[tuple[int, int, int, int]]:
     stack = [root]
     while stack:
         node = stack.pop()
-        shape = shapes.setdefault(node.path, [xxhash.xxh64(), xxhash.xxh64(), 0])
+        shape = shapes.setdefault(node.path, [xxhash.xxh64(), xxhash.xxh64(), 2 * node.hint + 4 * (node.main == 2)])
         look, words, _ = shape
         for kid in node.kids:
             if isinstance(kid, str):
@@ -178,7 +199,7 @@ def tree_rows(page: str) -> list[tuple[int, int, int, int]]:
                 words.update(text)
                 look.update(b"#")
                 if text and node.main < inside:
-                    shape[2] = 1
+                    shape[2] |= 1
             else:
                 look.update(kid.path.to_bytes(8, "little"))
                 if not kid.noise:
@@ -196,10 +217,10 @@ def _in_order(root: Node) -> list[Node]:
     return order
 
 
-def _unimportant(root: Node, low: set[int]) -> set[int]:
-    """Identities of the branches in which every node is in ``low``.
+def _unimportant(root: Node, low: Collection[int], high: Collection[int]) -> set[int]:
+    """Identities of the branches in which every node is in ``low``, or has a telling class and is not in ``high``.
 
-    An article is none of them, and holds none if nothing in it is important.
+    The latter does not count in an article. An article is none of them, and holds none if nothing in it is important.
     """
     order = _in_order(root)
     poor: set[int] = set()
@@ -207,7 +228,8 @@ def _unimportant(root: Node, low: set[int]) -> set[int]:
     for node in reversed(order):  # children come before their parents
         if node.up and (node.main == 2 or id(node) in holds):
             holds.add(id(node.up))
-        if _signed(node.path) in low and all(isinstance(k, str) or k.noise or id(k) in poor for k in node.kids):
+        path = _signed(node.path)
+        if (path in low or node.hint and node.main < 2 and path not in high) and all(isinstance(k, str) or k.noise or id(k) in poor for k in node.kids):
             poor.add(id(node))
     whole: set[int] = set()  # articles that repeat as they are, and what is in them
     for node in order:
@@ -235,31 +257,34 @@ def _important(root: Node, high: set[int], inside: int) -> set[int]:
             holds.add(id(node))
             if node.up:
                 holds.add(id(node.up))
-        elif _signed(node.path) in high or id(node) in rich:
+        elif not node.hint and (_signed(node.path) in high or id(node) in rich):
             rich.add(id(node))
             if node.up:
                 rich.add(id(node.up))
     kept: set[int] = set()
     for node in order:
         if id(node) in holds:
-            if _signed(node.path) in high:
+            if not node.hint and _signed(node.path) in high:
                 kept.add(id(node))
+        elif node.hint:
+            continue
         elif id(node) in rich if id(node.up) in holds else id(node.up) in kept:
             kept.add(id(node))
     return kept
 
 
-def page_text(page: str, low: set[int], high: Collection[int] = ()) -> str:
+def page_text(page: str, low: Collection[int], high: Collection[int] = ()) -> str:
     """Blocks of the page's main text, without declared noise and branches of paths in ``low`` only.
 
-    Beside an article only branches with a path in ``high`` count. A page of which nothing would be left is given without the cuts.
+    Beside an article, and below a telling class outside of one, only branches with a path in ``high``
+    count. A page of which the tree would leave nothing is given without its cuts.
     """
-    return _blocks(page, low, high) or (_blocks(page, set(), high) if low else "")
+    root = parse(page)
+    return _blocks(root, low, high) or (_blocks(root, (), high) if low else "")
 
 
-def _blocks(page: str, low: set[int], high: Collection[int]) -> str:
-    root = parse(page)
-    poor = _unimportant(root, low) if low else set()
+def _blocks(root: Node, low: Collection[int], high: Collection[int]) -> str:
+    poor = _unimportant(root, low, high)
     inside = _has_main(root)
     extra = _important(root, high, inside) if high and inside else set()
     blocks: list[str] = []
@@ -282,7 +307,7 @@ def _blocks(page: str, low: set[int], high: Collection[int]) -> str:
         elif node.tag == "br":
             line.append(" ")
         elif node.noise or id(node) in poor:
-            if node.tag in BLOCKS or node.tag in DROPPED:
+            if node.tag in BLOCKS:
                 flush()
         else:
             kids = node.kids
@@ -315,7 +340,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance, outside); entropies are relative to the number of pages, in [0, 1].
+    """(host, path, pages, importance, marks) by each host alone; entropies are relative to its pages, in [0, 1].
 
     Pages of a host with the same nodes count once, however often they repeat: each gives one row
     with its digest, and copies are combined before the shuffle.
@@ -330,41 +355,61 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 flat = np.concatenate(rows)
                 cols = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)]
                 ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, ["path", "look", "words", "outside"]))
+                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(cols, ["path", "look", "words", "marks"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), digests, nodes], ["host", "page", "nodes"])
 
     slim = pages.select(host_of(F.col("url")).alias("host"), "html")
-    each = slim.mapInArrow(run, "host string, page binary, nodes array<struct<path: long, look: long, words: long, outside: long>>")
+    each = slim.mapInArrow(run, "host string, page binary, nodes array<struct<path: long, look: long, words: long, marks: long>>")
     each = each.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
     seen = each.select("host", F.inline("nodes"))
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("look", "words"))]
-    each = seen.select("host", "path", "outside", F.explode(F.array(*kinds)).alias("of"))
-    counts = each.groupBy("host", "path", "of.kind", "of.value").agg(F.count("*").alias("n"), F.max("outside").alias("outside"))
+    each = seen.select("host", "path", "marks", F.explode(F.array(*kinds)).alias("of"))
+    counts = each.groupBy("host", "path", "of.kind", "of.value").agg(F.count("*").alias("n"), F.bit_or("marks").alias("marks"))
     m = F.sum("n")
     entropy = F.when(m > 1, (F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(m)).otherwise(F.lit(1.0))
-    spread = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("h"), F.max("outside").alias("outside"))
+    spread = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("h"), F.bit_or("marks").alias("marks"))
     share = F.when(F.col("kind") == 0, 1 - GAMMA).otherwise(GAMMA)
     return spread.groupBy("host", "path").agg(
-        F.max("pages").alias("pages"), F.sum(share * F.col("h")).alias("importance"), F.max("outside").alias("outside")
+        F.max("pages").alias("pages"), F.sum(share * F.col("h")).alias("importance"), F.bit_or("marks").alias("marks")
     )
 
 
-def extract_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def judged_paths(tree: DataFrame, least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """(host, path, low, high) of the paths of ``style_tree`` that are cut, or that stay against a guess."""
+    tree = stored(tree, "style_tree")
+    seen, mark = F.col("pages") - 1, lambda bit: F.col("marks").bitwiseAND(bit) > 0
+    everywhere = tree.groupBy("path").agg(F.sum(seen).alias("weight"), F.sum(seen * F.col("importance")).alias("total"))
+    everywhere = everywhere.where("weight > 0")  # what one page shows nowhere repeats and nowhere varies
+
+    def drawn(prior: float) -> Column:
+        of_all = (F.col("total") + EVIDENCE * prior) / (F.col("weight") + EVIDENCE)
+        return (seen * F.col("importance") + EVIDENCE * of_all) / (seen + EVIDENCE)
+
+    guess, article = mark(2), mark(4)
+    low = F.when(guess, article & (drawn(1.0) < sure)).otherwise(drawn(1.0) < least)
+    high = F.when(guess, ~article).otherwise(mark(1)) & (drawn(0.0) >= sure)
+    judged = tree.join(shippable(stored(everywhere, "paths")), "path").select("host", "path", low.alias("low"), high.alias("high"))
+    return judged.where("low or high")
+
+
+def extract_text(pages: DataFrame, least: float = LEAST, sure: float = SURE) -> DataFrame:
     """Per row of ``pages``: page_id, url, text."""
     session(pages)
-    known = style_tree(pages)
-    poor = F.col("importance") < least
-    told = known.where((F.col("pages") >= min_pages) & (poor | (F.col("outside") > 0)))
-    sets = [F.collect_set(F.when(poor, F.col("path"))).alias("low"), F.collect_set(F.when(~poor, F.col("path"))).alias("high")]
+    told = judged_paths(style_tree(pages), least, sure)
+    sets = [F.collect_set(F.when(F.col(k), F.col("path"))).alias(k) for k in ("low", "high")]
     told = stored(told.groupBy("host").agg(*sets), "importance")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     few = (told.agg(F.sum(F.size("low") + F.size("high"))).head()[0] or 0) <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(told) if few else told, "host", "left").select("page_id", "url", "html", "low", "high")
+    rows = rows.join(F.broadcast(told) if few else told, "host", "left").select("page_id", "url", "html", "host", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = (None, (), ())  # the sets of the last host: its pages often follow each other
         for batch in batches:
-            told = zip(*(batch.column(k) for k in (2, 3, 4)))
-            texts = [page_text(h.as_py() or "", set(c.as_py() or ()), set(k.as_py() or ())) for h, c, k in told]
+            texts = []
+            for k, (html, host) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+                if host != known[0]:
+                    known = (host, *(set(batch.column(c)[k].as_py() or ()) for c in (4, 5)))
+                texts.append(page_text(html.as_py() or "", *known[1:]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

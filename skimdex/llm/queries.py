@@ -79,6 +79,23 @@ def op4_html_text(spark, sf):
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def relabelled(pages: DataFrame) -> DataFrame:
+    """``pages`` whose articles open with a line that a host repeats, under a class that tells nothing,
+    and whose headings stand under one that tells of noise."""
+    line = F.concat(F.lit('<article><div class="k1"><p>'), html_text.host_of(F.col("url")), F.lit(" is read daily.</p></div>"))
+    html = F.col("html")
+    for old, new in (("<article>", line), ("<h1>", F.lit('<div class="side-effects"><h1>')), ("</h1>", F.lit("</h1></div>"))):
+        html = F.replace(html, F.lit(old), new)
+    return pages.withColumn("html", html)
+
+
+@register
+def style_tree_text(spark, sf):
+    """Text of ``relabelled`` pages: the tree alone can tell their lines from their headings."""
+    texts = html_text.extract_text(relabelled(table(spark, sf, "pages")))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register
 def op5_url_filter(spark, sf):
     return url_rules.filter_urls(table(spark, sf, "pages"), URL_RULES, table(spark, sf, "labels"))
