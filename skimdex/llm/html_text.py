@@ -13,7 +13,7 @@ and no number of pages switches a rule on. The prior and the bar depend on what
 * What HTML itself or an unmistakable name declares to be a menu, header, footer, sidebar, advert, form,
   script, style or reader comment goes always; comments vary like a story, so no entropy finds them.
 * A telling class (``HINT``) is a guess. Inside an article such a branch goes only where the pages
-  confirm it, below ``SURE``; elsewhere it goes unless they refute it.
+  confirm it, below ``TOLD``; elsewhere it goes unless they refute it and it reaches ``SURE``.
 * Other branches go below ``LEAST``. In an article only whole blocks do, since repeated words are part of
   a sentence, and none where all of the article repeats.
 * Beside an article everything goes but branches without a telling class that are sure to matter.
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 
 from skimdex.llm.common import BROADCAST_ROWS, session, shippable, stored
 
-#: nodes less important than this are cut; those that a guess speaks against must reach the other
-LEAST, SURE = 0.3, 0.8
+#: nodes less important than the first are cut, with a telling class in an article those below the
+#: second; the third is asked of nodes that stay against a guess, or beside an article
+LEAST, TOLD, SURE = 0.3, 0.5, 0.8
 #: weight, in pages, of what other hosts and the prior say about a path
 EVIDENCE = 4
 #: the share of content against presentation in a node's importance
@@ -374,7 +375,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
-def judged_paths(tree: DataFrame, least: float = LEAST, sure: float = SURE) -> DataFrame:
+def judged_paths(tree: DataFrame, least: float = LEAST, told: float = TOLD, sure: float = SURE) -> DataFrame:
     """(host, path, low, high) of the paths of ``style_tree`` that are cut, or that stay against a guess."""
     tree = stored(tree, "style_tree")
     seen, mark = F.col("pages") - 1, lambda bit: F.col("marks").bitwiseAND(bit) > 0
@@ -386,30 +387,30 @@ def judged_paths(tree: DataFrame, least: float = LEAST, sure: float = SURE) -> D
         return (seen * F.col("importance") + EVIDENCE * of_all) / (seen + EVIDENCE)
 
     guess, article = mark(2), mark(4)
-    low = F.when(guess, article & (drawn(1.0) < sure)).otherwise(drawn(1.0) < least)
+    low = F.when(guess, article & (drawn(1.0) < told)).otherwise(drawn(1.0) < least)
     high = F.when(guess, ~article).otherwise(mark(1)) & (drawn(0.0) >= sure)
     judged = tree.join(shippable(stored(everywhere, "paths")), "path").select("host", "path", low.alias("low"), high.alias("high"))
     return judged.where("low or high")
 
 
-def extract_text(pages: DataFrame, least: float = LEAST, sure: float = SURE) -> DataFrame:
+def extract_text(pages: DataFrame, least: float = LEAST, told: float = TOLD, sure: float = SURE) -> DataFrame:
     """Per row of ``pages``: page_id, url, text."""
     session(pages)
-    told = judged_paths(style_tree(pages), least, sure)
+    judged = judged_paths(style_tree(pages), least, told, sure)
     sets = [F.collect_set(F.when(F.col(k), F.col("path"))).alias(k) for k in ("low", "high")]
-    told = stored(told.groupBy("host").agg(*sets), "importance")
+    known = stored(judged.groupBy("host").agg(*sets), "importance")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    few = (told.agg(F.sum(F.size("low") + F.size("high"))).head()[0] or 0) <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(told) if few else told, "host", "left").select("page_id", "url", "html", "host", "low", "high")
+    few = (known.agg(F.sum(F.size("low") + F.size("high"))).head()[0] or 0) <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(known) if few else known, "host", "left").select("page_id", "url", "html", "host", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, (), ())  # the sets of the last host: its pages often follow each other
+        last: tuple = (None, (), ())  # the sets of the last host: its pages often follow each other
         for batch in batches:
             texts = []
             for k, (html, host) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                if host != known[0]:
-                    known = (host, *(set(batch.column(c)[k].as_py() or ()) for c in (4, 5)))
-                texts.append(page_text(html.as_py() or "", *known[1:]))
+                if host != last[0]:
+                    last = (host, *(set(batch.column(c)[k].as_py() or ()) for c in (4, 5)))
+                texts.append(page_text(html.as_py() or "", *last[1:]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

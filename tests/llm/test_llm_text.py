@@ -311,7 +311,7 @@ def test_telling_classes_never_drop_a_story(spark):
     for copies in (1, 2, 9, 40):
         rows = [(i, "http://h.org/", page(i)) for i in range(copies)]
         got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGE)).collect()}
-        kept = "" if copies > 1 else "\n\nGet our letter"  # nothing confirms the guess on a single page
+        kept = "" if copies > 2 else "\n\nGet our letter"  # nothing confirms the guess on so few pages
         assert got == {i: f"{story(i)}{kept}\n\nx a+{i} y" for i in range(copies)}, copies
     # without an article a guess holds until the pages refute it
     text = "<div class='menu'>Dish {0} of the day</div><div class='toolbar'>save as</div><p>end {0}</p>".format
@@ -358,7 +358,7 @@ def test_style_tree_equals_plain_tree(spark, tables):
     want = set()
     for host, path in own:
         mark = marks[host, path]
-        low = drawn(host, path, 1) < 0.8 and mark & 4 if mark & 2 else drawn(host, path, 1) < 0.3
+        low = drawn(host, path, 1) < 0.5 and mark & 4 if mark & 2 else drawn(host, path, 1) < 0.3
         high = (not mark & 4 if mark & 2 else mark & 1) and drawn(host, path, 0) >= 0.8
         if weight[path] and (low or high):
             want.add((host, path, bool(low), bool(high)))
