@@ -1,9 +1,9 @@
 """Zstandard-compressed web archives: writing with deduplication, and a validating reader.
 
 An archive is a leading skippable frame that holds the dictionary, then one zstd frame per WARC
-record. Of records with equal payloads of at least ``SMALLEST`` bytes that of the smallest page_id is
-the response and the others are revisits without a body. The reader walks the frames, decodes one at
-a time and checks version, required headers, lengths, terminators and digests.
+record; a task begins a new archive where one has reached ``ARCHIVE_BYTES``. Of records with equal payloads of at least ``SMALLEST`` bytes that of the smallest page_id is
+the response and the others are revisits without a body. The reader streams the frames of an archive
+of any size, holds and decodes one at a time and checks version, required headers, lengths, terminators and digests.
 
 Defined results: a null html is an empty payload; a null url has no target header; a null page_id
 has no id header and reads back as null, and ranks behind all others; rows that share the smallest
@@ -14,9 +14,11 @@ record gives a row with ``error`` set and does not hide the records after it.
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimdex.llm.common import session
+from skimdex.llm.common import session, stored
 from skimdex.session import work_dir
 
 SMALLEST = 100
@@ -35,6 +37,8 @@ DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
 #: the dictionary is trained on at most so many pages of at most so many characters
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 300, 20_000, 65_536
 LEVEL = 6
+#: an archive of so many bytes takes no further record
+ARCHIVE_BYTES = 1 << 30
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -78,11 +82,12 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write one archive per task below ``folder``; (path, n) of each.
+def write_archives(pages: DataFrame, folder: str, roll: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write archives of some ``roll`` bytes below ``folder``; (path, n) of each.
 
-    An archive is named by its partition and moved into place when whole, so a task that runs again
-    replaces its own file.
+    Every attempt of a task writes drafts of its own, which no reader lists. Those of the attempts that
+    Spark committed are moved into place, so a task that ran twice, in another order of rows, leaves
+    one set of records. A record is never cut; one larger than ``roll`` fills an archive alone.
     """
     session(pages)
     slim = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -98,56 +103,81 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = _filesystem(folder)
-        part = TaskContext.get().partitionId()
-        name = f"{base}/part-{part:06d}.warc.zst"
-        draft = f"{base}/_draft-{part:06d}-{uuid.uuid4().hex}"
+        part, mine = TaskContext.get().partitionId(), uuid.uuid4().hex
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True, write_checksum=True)
-        n, out = 0, None
+        lead = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary if dictionary else b""
+        k, n, out = 0, 0, None
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            row = [pa.array([f"{base}/{name}"]) for name in (draft, f"part-{part:06d}-{k:04d}.warc.zst")]
+            return pa.RecordBatch.from_arrays([*row, pa.array([n], pa.int64())], ["draft", "path", "n"])
+
         for batch in batches:
             ids, urls, htmls, digests, firsts = (batch.column(i) for i in range(5))
             for i in range(batch.num_rows):
                 if out is None:
                     target.create_dir(base, recursive=True)
-                    out = target.open_output_stream(draft)
-                    if dictionary:
-                        out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
+                    draft = f"_draft-{part:06d}-{k:04d}-{mine}"
+                    out = target.open_output_stream(f"{base}/{draft}")
+                    out.write(lead)
+                    size, n = len(lead), 0
                 payload = htmls[i].as_py().encode()
-                out.write(press.compress(_record(ids[i].as_py(), urls[i].as_py(), payload, digests[i].as_py(), firsts[i].as_py())))
-                n += 1
+                frame = press.compress(_record(ids[i].as_py(), urls[i].as_py(), payload, digests[i].as_py(), firsts[i].as_py()))
+                out.write(frame)
+                n, size = n + 1, size + len(frame)
+                if size >= roll:
+                    yield close()
+                    k, out = k + 1, None
         if out is not None:
-            out.close()
-            target.move(draft, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["path", "n"])
+            yield close()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, _ = _filesystem(folder)
+        for batch in batches:
+            for draft, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if target.get_file_info(draft).type != fs.FileType.NotFound:  # else moved by an earlier attempt
+                    target.move(draft, path)
+            yield batch.select(["path", "n"])
 
-    return rows.mapInArrow(run, "path string, n long")
+    written = stored(rows.mapInArrow(run, "draft string, path string, n long"), "archives-written")
+    return stored(written.mapInArrow(settle, "path string, n long"), "archives-settled")
 
 
-def frames(data: memoryview) -> Iterator[tuple[int, int, int]]:
-    """(magic, begin, end) of every frame; raises ValueError where the file is cut or is no frame."""
-    at = 0
-    while at < len(data):
-        if len(data) - at < 8:
-            raise ValueError("cut frame")
-        magic, size = struct.unpack_from("<II", data, at)
+def frames(stream: BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """(magic, content) of every frame: the body of a skippable one, all of a zstd one.
+
+    Raises ValueError where the file is cut or is no frame.
+    """
+
+    def take(size: int) -> bytes:
+        got = bytearray()
+        while len(got) < size:
+            piece = stream.read(size - len(got))
+            if not piece:
+                raise ValueError("cut frame")
+            got += piece
+        return bytes(got)
+
+    while first := stream.read(1):
+        frame = bytearray(first + take(3))
+        (magic,) = struct.unpack("<I", frame)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            end = at + 8 + size
+            yield magic, take(struct.unpack("<I", take(4))[0])
         elif magic == FRAME:
-            end = at + zstandard.frame_header_size(bytes(data[at : at + 18]))
+            frame += take(1)
+            flags = frame[4]
+            frame += take(zstandard.frame_header_size(bytes(frame)) - 5)
             last = False
             while not last:
-                if end + 3 > len(data):
-                    raise ValueError("cut frame")
-                block = int.from_bytes(data[end : end + 3], "little")
+                head = take(3)
+                block = int.from_bytes(head, "little")
                 last = bool(block & 1)
-                end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
-            end += 4 if data[at + 4] & 4 else 0
+                frame += head + take(1 if block >> 1 & 3 == 1 else block >> 3)
+            yield magic, bytes(frame + take(4 if flags & 4 else 0))
         else:
             raise ValueError("no frame")
-        if end > len(data):
-            raise ValueError("cut frame")
-        yield magic, at, end
-        at = end
 
 
 def parse_record(raw: bytes) -> dict:
@@ -186,21 +216,20 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
+def read_archive(archive: bytes | BinaryIO) -> Iterator[dict]:
     """Records of one archive in order; what cannot be read is a row with only ``error``."""
-    view = memoryview(data)
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
     undo = zstandard.ZstdDecompressor()
     try:
-        for k, (magic, a, b) in enumerate(frames(view)):
+        for k, (magic, body) in enumerate(frames(stream)):
             if magic != FRAME:
                 if k == 0 and magic == DICTIONARY_FRAME:
-                    body = bytes(view[a + 8 : b])
                     if body[:4] == struct.pack("<I", FRAME):  # the dictionary may itself be compressed
                         body = zstandard.ZstdDecompressor().decompress(body)
                     undo = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
                 continue
             try:
-                yield parse_record(undo.decompress(bytes(view[a:b])))
+                yield parse_record(undo.decompress(body))
             except (ValueError, zstandard.ZstdError) as problem:
                 yield {"error": str(problem)}
     except (ValueError, zstandard.ZstdError) as problem:
@@ -208,21 +237,26 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record below ``folder``: page_id, url, payload size and digest, type, reference, error."""
+    """Every record below ``folder``: page_id, url, payload size and digest, type, reference, error.
+
+    Spark lists the archives and deals them by size; their contents are read by the tasks as a stream.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for path in batch.column(0).to_pylist():
+                source, name = _filesystem(path)
                 rows: list[dict] = []
-                for row in read_archive(content.as_buffer()):
-                    rows.append(row)
-                    if len(rows) == 4096:
-                        yield _rows(rows)
-                        rows = []
+                with source.open_input_stream(name, compression=None, buffer_size=1 << 20) as stream:
+                    for row in read_archive(stream):
+                        rows.append(row)
+                        if len(rows) == 4096:
+                            yield _rows(rows)
+                            rows = []
                 yield _rows(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(run, COLUMNS)
+    return files.select("path", "length").mapInArrow(run, COLUMNS)
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import io
 import itertools
 import math
 import random
@@ -237,6 +238,29 @@ def test_reader_validates():
     assert list(warc.read_archive(b"")) == [] and next(warc.read_archive(b"no archive"))["error"] == "no frame"
 
 
+def test_archives_roll_over(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", random.Random(i).randbytes(3000).hex()) for i in range(300)]
+    frame = spark.createDataFrame(pages + [(300, "u", pages[0][2])], PAGE).coalesce(2)
+    folder = str(tmp_path / "archives")
+    written = warc.write_archives(frame, folder, roll=100_000).collect()
+    files = sorted((tmp_path / "archives").iterdir())
+    assert sorted(r.path for r in written) == [str(f) for f in files] and sum(r.n for r in written) == 301
+    assert len(files) > 6 and all(f.stat().st_size < 110_000 + warc.DICTIONARY_BYTES for f in files)
+    got = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
+    assert len(got) == 301 and all(r.error is None for r in got.values())
+    assert got[300].refers_to == 0 and {got[i].payload_digest for i in range(300)} == {sha(p[2]) for p in pages}
+    # what a lost attempt left behind is not read, and a stream may come in pieces
+    (tmp_path / "archives" / "_draft-000000-0000-x").write_bytes(files[0].read_bytes())
+    assert warc.read_archives(spark, folder).count() == 301
+
+    class Slow(io.BytesIO):
+        def read(self, size=-1):
+            return super().read(min(size, 7))
+
+    raw = files[0].read_bytes()
+    assert list(warc.read_archive(Slow(raw))) == list(warc.read_archive(raw))
+
+
 # -- pages
 
 
