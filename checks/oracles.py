@@ -270,6 +270,10 @@ def oracle_sql() -> dict[str, str]:
         "filter_index": _with(M) + f"SELECT file_path, file_hash, {ms('indexed_at')} FROM m WHERE {LISTED}",
         "list_index": _with(M)
         + f"""SELECT file_path, file_hash, {ms('indexed_at')} FROM (SELECT * FROM m WHERE {LISTED}
+  ORDER BY indexed_at DESC, file_path LIMIT 50 OFFSET 50)""",
+        "filter_index_grams": _with(M) + f"SELECT file_path, file_hash, {ms('indexed_at')} FROM m WHERE {LISTED}",
+        "list_index_seek": _with(M)
+        + f"""SELECT file_path, file_hash, {ms('indexed_at')} FROM (SELECT * FROM m WHERE {LISTED}
   ORDER BY indexed_at DESC, file_path LIMIT 50 OFFSET 50)""",
         "count_index": _with(M) + f"SELECT count(*) AS total FROM m WHERE {LISTED}",
         "distance_to_score": """SELECT event_id, round(least(greatest(1 - value / 25.0, 0), 1), 6) AS score

@@ -13,7 +13,7 @@ from checks import inputs as I
 from skimdex.functions import paths as P
 from skimdex.functions import text as X
 from skimdex.functions import vectors as V
-from skimdex.operators import ann, bounded, chunk, diff, graph, hash_index, index_rows, knn, maintain, media, model_io, product_codes, search, upsert
+from skimdex.operators import ann, bounded, chunk, diff, graph, hash_index, index_rows, knn, listing, maintain, media, model_io, product_codes, search, upsert
 from skimdex.operators.scoring import score_rows
 from skimdex.plans import folders, jobs, query
 from skimdex.plans.coarse import CoarseIndex
@@ -339,6 +339,20 @@ def q_list_index(spark, sf):
     return out.select("file_path", "file_hash", _ms("indexed_at"))
 
 
+@register
+def q_filter_index_grams(spark, sf):
+    """The same filter by the trigram postings of a stored listing."""
+    index = listing.build_path_index(I.listing(spark, sf), work_dir(spark, "paths"))
+    return index.filter(**_listing_filter()).select("file_path", "file_hash", _ms("indexed_at"))
+
+
+@register
+def q_list_index_seek(spark, sf):
+    """The same page, found by counting bands of times."""
+    out = listing.seek_page(I.listing(spark, sf), **_listing_filter(), page=2, page_size=50, most=64)
+    return out.select("file_path", "file_hash", _ms("indexed_at"))
+
+
 @register
 def q_count_index(spark, sf):
     return maintain.count_index(I.listing(spark, sf), **_listing_filter())
