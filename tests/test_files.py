@@ -121,6 +121,12 @@ def test_size_labels(spark):
     assert column(spark, sizes, "long", P.size_label) == want
 
 
+def test_labels_of_large_sizes_round_as_doubles_do(spark):
+    sizes = [280242448222367232, 1342301072752524625, 2402145669022010240]
+    want = ["260996118.40 GB", "1250115290.98 GB", "2237172489.07 GB"]
+    assert column(spark, sizes, "long", P.size_label) == want
+
+
 def test_exif_defaults_and_hemispheres(spark):
     tags = [
         '{"Make":"M","FNumber":"2.8","ApertureValue":"9","GPSLatitude":-33.5,"GPSLongitude":0}',
