@@ -307,3 +307,12 @@ def test_report_lists_processed_files(spark, folder):
     )
     run = incremental_index_job(IndexStore(spark, f"{folder}/index"), files, OPTIONS)
     assert [(r.file_path, r.n_chunks, r.file_hash) for r in run.report(files).collect()] == [("a.txt", 1, "h1")]
+
+
+def test_stream_reads_a_table_that_is_a_folder_of_files(spark, folder, tables):
+    from checks.compare import _plain
+    from checks.queries import QUERIES
+
+    spark.read.parquet(f"{tables}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    want = sorted(map(_plain, QUERIES["incremental_index_stream"](spark, tables).collect()))
+    assert want and sorted(map(_plain, QUERIES["incremental_index_stream"](spark, folder).collect())) == want
