@@ -236,3 +236,28 @@ def test_payload_scan_is_filtered_by_the_page(spark, cloud, folder):
     assert "PushedFilters: [In(file_path" in plan or "In(file_path, [" in plan
     assert [r.id for r in found.collect()] == [r.id for r in hits.collect()]
     assert search.with_payload(hits.where("false"), stored).count() == 0
+
+
+def test_many_queries_share_one_cut_of_the_found_rows(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from skimdex.operators.scoring import TopK, partition_topk
+
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(5000, 4)), 1)  # coarse, so that cosines tie
+    ids = [f"v{i}" for i in rng.permutation(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["id", "vector"])
+    cuts, cut = [], TopK._cut
+    monkeypatch.setattr(TopK, "_cut", lambda self, table: cuts.append(1) or cut(self, table))
+    got = pa.Table.from_batches(partition_topk(iter([batch]), rows[:4096], 5, ids[:4096]))
+    assert len(cuts) == 1
+    with np.errstate(invalid="ignore"):
+        unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    found = {}
+    for r in got.to_pylist():
+        found.setdefault(r["_q"], []).append(r["id"])
+    for q in range(0, 4096, 97):
+        near = np.nan_to_num(np.round(unit @ unit[q], 12), nan=-9.0)
+        best = sorted((i for i in range(5000) if i != q and near[i] > -9), key=lambda i: (-near[i], ids[i]))[:5]
+        assert found.get(q, []) == ([ids[i] for i in best] if np.isfinite(unit[q]).all() else [])
