@@ -159,3 +159,16 @@ def test_odd_coordinates_do_not_stop_the_job(spark):
     rows = [("a", '{"GPSLatitude": 12345.6, "GPSLongitude": -7.5}'), ("b", '{"GPSLatitude": 1e300}')]
     got = media.exif_fields(spark.createDataFrame(rows, "file_path string, tags string")).orderBy("file_path").collect()
     assert [(r.gps_latitude, r.gps_longitude) for r in got] == [(None, "7.5 W"), (None, None)]
+
+
+def test_a_text_tree_holds_one_file_per_document_and_nothing_else(spark, folder):
+    import os
+
+    from checks.inputs import write_text_tree
+
+    rows = [(1, "a"), (2, "ü\nb"), (2, "copied number"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    root = write_text_tree(spark, folder, f"{folder}/tree")
+    found = [(d, f) for d, _, names in os.walk(root) for f in names]
+    texts = sorted((os.path.basename(d), open(f"{d}/{f}", encoding="utf-8").read()) for d, f in found)
+    assert texts == [("doc_id=1", "a\n"), ("doc_id=2", "copied number\n"), ("doc_id=2", "ü\nb\n"), ("doc_id=3", "\n")]
