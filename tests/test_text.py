@@ -97,3 +97,23 @@ def test_long_word_stays_whole(spark):
 def test_input_columns_are_kept(spark):
     docs = spark.createDataFrame([("p", 7, "hi there")], "file_path string, size long, text string")
     assert chunk_documents(docs).columns == ["file_path", "size", "chunk_index", "total_chunks", "chunk_text"]
+
+
+def test_chunks_leave_a_task_in_small_batches():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [None, "", *["some words of a text " * 400] * 3000, "word " * 300_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = list(chunk_documents(Docs())(iter([batch])))
+    assert max(b.nbytes for b in found) < 4_000_000
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert sorted({r["doc_id"] for r in rows}) == list(range(2, len(texts)))
+    last = [r for r in rows if r["doc_id"] == len(texts) - 1]
+    assert [r["chunk_index"] for r in last] == list(range(last[0]["total_chunks"])) and len(last) > 800
