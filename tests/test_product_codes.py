@@ -78,3 +78,14 @@ def test_empty_table(spark):
     assert index.neighbors(asked_of(some, 1), none, 2).collect() == []
     full = build_product_index(some, work_dir(spark, "products"), centroids_of(some, 2, 3), 2)
     assert full.neighbors(none.select(F.col("id").alias("query_id"), "vector"), some, 2).collect() == []
+
+
+def test_codes_are_held_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from skimdex.operators import intervals
+
+    monkeypatch.setattr(intervals, "HELD_ROWS", 5)
+    batches = [pa.RecordBatch.from_pydict({"pq": [b"ab"] * 3 + [b"a", None], "id": list(range(i, i + 5))}) for i in (0, 10, 20)]
+    pieces = [p.column("id").to_pylist() for p in intervals._held(iter(batches), "pq", 2)]
+    assert pieces == [[0, 1, 2, 10, 11, 12], [20, 21, 22]]
