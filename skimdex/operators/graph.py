@@ -4,6 +4,8 @@ Every row starts with neighbours from small groups of equal hash codes. In a rou
 the rows on its list and some that list it meet in one task and are scored against each other, unless
 both were met in an earlier round, and a pair is reported only where it improves a list. The rounds
 end when few entries are new. Nothing compares all rows; a round scores some ``(2 width)^2`` pairs a row.
+Lists of one width find less in a larger table, so some rows are then compared with all, and while their
+lists hold less than was asked for, all lists are widened by half and refined again.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions.vectors import distance_to_score
+from skimdex.operators import knn
 from skimdex.operators.hash_index import _margins, _weights, planes
 from skimdex.operators.scoring import COSINE_DECIMALS, unit_rows, usable_slices
 from skimdex.session import work_dir
@@ -25,6 +28,8 @@ from skimdex.session import work_dir
 GROUP_ROWS, TABLES = 64, 2
 #: branches in which a long list of callers is cut before it is cut as a whole
 BRANCHES = 64
+#: rows, about, that are compared with all to measure the recall, and what it must lie above the one asked for
+CHECKED, MARGIN = 500, 0.02
 EDGES = "node long, other long, cos double"
 _ARROW_EDGES = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("cos", pa.float64())])
 
@@ -126,22 +131,51 @@ def _round(nodes: DataFrame, edges: DataFrame, width: int, seed: int) -> DataFra
     return _best(old.unionByName(found.withColumn("fresh", F.lit(True))), width)
 
 
+def _recall(nodes: DataFrame, edges: DataFrame, k: int, seed: int) -> float:
+    """Share of the ``k`` nearest others that the lists of rows chosen by hash hold; others as near count as well."""
+    part = max(1, nodes.count() // CHECKED)
+    some = nodes.where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(part)) == 0).select("node", "unit")
+    asked = some.select(F.col("node").cast("string").alias("query_id"), F.col("unit").alias("vector"))
+    rows = nodes.select(F.col("node").cast("string").alias("id"), F.col("unit").alias("vector"))
+    exact = knn.knn_join(asked, rows, k, exclude_same_id=True).groupBy(F.col("query_id").cast("long").alias("node"))
+    exact = exact.agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+    held = edges.join(exact, "node").where(F.round(1.0 - F.col("cos"), 9) <= F.round("last", 9))
+    held = held.groupBy("node").agg(F.count("*").alias("held"))
+    row = exact.join(held, "node", "left").agg(F.sum(F.least("held", "n")).alias("held"), F.sum("n").alias("n")).head()
+    return (row.held or 0) / row.n if row.n else 1.0
+
+
+def _refined(nodes: DataFrame, edges: DataFrame, width: int, rounds: int, settled: float, seed: int) -> tuple[DataFrame, bool]:
+    """The lists after their rounds, and whether they have settled."""
+    for at in range(rounds):
+        edges = _written(_round(nodes, edges, width, seed + at), "graph")
+        row = edges.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).head()
+        if row.fresh <= settled * row.n:
+            return edges, True
+    return edges, False
+
+
 def neighbor_graph(
-    vectors: DataFrame, k: int, width: int | None = None, rounds: int = 12, settled: float = 0.005, seed: int = 7
+    vectors: DataFrame, k: int, width: int | None = None, rounds: int = 12, settled: float = 0.005, seed: int = 7,
+    recall: float = 0.9,
 ) -> DataFrame:
     """Approximate ``k`` nearest other rows of every row: query_id, id, file_path, rank, distance, score.
 
     Lists hold ``width`` entries (default ``3 k``) while they are refined; the rounds end when no more
-    than the share ``settled`` of all entries is new. Rows without a direction have no neighbours.
+    than the share ``settled`` of all entries is new. Lists that have settled and hold less than the share
+    ``recall`` of the nearest rows, as about ``CHECKED`` rows show, are widened; where ``rounds`` do not
+    suffice to settle, they stay as they are. Rows without a direction have no neighbours.
     """
     width = max(k, width or 3 * k)
     nodes = _nodes(vectors, seed)
+    n = nodes.count()
     edges = _written(_start(nodes, width, seed), "graph")
-    for at in range(rounds):
-        edges = _written(_round(nodes, edges, width, seed + at), "graph")
-        row = edges.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).head()
-        if row.fresh <= settled * row.n:
+    while True:
+        edges, done = _refined(nodes, edges, width, rounds, settled, seed)
+        if not done or width >= n - 1 or _recall(nodes, edges, k, seed) >= min(1.0, recall + MARGIN):
             break
+        width += width // 2 + 1
+        edges = edges.withColumn("fresh", F.lit(True))  # what narrower lists refused must be met again
     names = [c for c in ("id", "file_path") if c in nodes.columns]
     asked = nodes.select("node", F.col("id").cast("string").alias("query_id"))
     found = edges.join(asked, "node").join(nodes.select(F.col("node").alias("other"), *names), "other")

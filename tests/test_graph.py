@@ -19,6 +19,12 @@ def test_nine_of_ten_neighbours(spark, data):
     assert recall(frame(spark, vectors), 8) >= 0.9
 
 
+def test_lists_too_narrow_for_the_table_are_widened(spark):
+    rows = frame(spark, np.random.default_rng(5).standard_normal((2000, 48)))
+    assert recall(rows, 8, width=10, recall=0.0) < 0.85
+    assert recall(rows, 8, width=10) >= 0.9
+
+
 def test_rounds_improve_the_start(spark):
     rows = frame(spark, np.random.default_rng(2).standard_normal((1500, 32)))
     assert recall(rows, 8, rounds=0) < 0.6 < recall(rows, 8, rounds=2)
