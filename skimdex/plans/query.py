@@ -31,7 +31,7 @@ def query_vector(
     else:
         raise ValueError(f"unsupported search type: {kind}")
     vector = (embedder or HashingEmbedder()).embed_batch(pd.Series([value]))[0]
-    if vector is None:
+    if vector is None or not any(vector):
         raise ValueError("the query could not be embedded")
     return [float(x) for x in vector]
 

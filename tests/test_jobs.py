@@ -316,3 +316,21 @@ def test_stream_reads_a_table_that_is_a_folder_of_files(spark, folder, tables):
     spark.read.parquet(f"{tables}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
     want = sorted(map(_plain, QUERIES["incremental_index_stream"](spark, tables).collect()))
     assert want and sorted(map(_plain, QUERIES["incremental_index_stream"](spark, folder).collect())) == want
+
+
+def test_a_text_without_direction_is_no_error(spark, folder):
+    """The trigrams of "Un" cancel: the file is indexed with a vector that never matches."""
+    store = IndexStore(spark, f"{folder}/index")
+    rows = [("un.txt", "Un."), ("long.txt", LONG)]
+    files = spark.createDataFrame(rows, "file_path string, text string").selectExpr(
+        "file_path", "length(text) AS file_size", "1L AS modified_at", "sha2(text, 256) AS file_hash", "text"
+    )
+    files = files.withColumn("file_size", F.col("file_size").cast("long"))
+    assert tuple(incremental_index_job(store, files, OPTIONS).summary().head()) == (2, 2, 0, 0, 0)
+    assert indexed(store) == ["long.txt", "un.txt"]
+    assert {r.file_path: len(r.vector) for r in store.vectors.read().collect()} == {"long.txt": 64, "un.txt": 64}
+    assert tuple(incremental_index_job(store, files, OPTIONS).summary().head()) == (2, 0, 0, 0, 0)
+    hits = search(store.vectors.read(), "text", text=LONG).collect()
+    assert {h.file_name for h in hits} == {"long.txt"}
+    with pytest.raises(ValueError):
+        search(store.vectors.read(), "text", text="Un.")

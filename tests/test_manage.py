@@ -145,3 +145,12 @@ def test_default_embedder():
     assert e.embed_batch(pd.Series([b"\x00\x01"]))[0] is not None
     joined, spaced, blank = e.embed_batch(pd.Series(["helloworld", "hello, world!", " .. "]))
     assert joined == spaced == a and blank is None
+
+
+def test_a_text_whose_signs_cancel_is_embedded_all_the_same():
+    import pandas as pd
+
+    e = HashingEmbedder()
+    assert not e.counts("Un").any()  # its two trigrams meet in a bucket with opposite signs
+    short, blank, empty, plain = e.embed_batch(pd.Series(["Un.", " .. ", "", "Una"]))
+    assert short == [0.0] * 64 and blank is None and empty is None and any(plain)
