@@ -172,3 +172,17 @@ def test_a_text_tree_holds_one_file_per_document_and_nothing_else(spark, folder)
     found = [(d, f) for d, _, names in os.walk(root) for f in names]
     texts = sorted((os.path.basename(d), open(f"{d}/{f}", encoding="utf-8").read()) for d, f in found)
     assert texts == [("doc_id=1", "a\n"), ("doc_id=2", "copied number\n"), ("doc_id=2", "ü\nb\n"), ("doc_id=3", "\n")]
+
+
+def test_a_repeated_task_leaves_the_same_files(spark, folder, monkeypatch):
+    """A task that is run again may read its rows in another order."""
+    from checks import inputs
+
+    monkeypatch.setattr(inputs, "spread", lambda df: df)
+    rows = [(1, "a"), (2, "b"), (2, "b"), (3, "c")]
+    for name, part in (("one", rows), ("two", rows[::-1])):
+        frame = spark.createDataFrame(part, "doc_id long, text string").coalesce(1)
+        frame.write.parquet(f"{folder}/{name}/documents.parquet")
+        inputs.write_text_tree(spark, f"{folder}/{name}", f"{folder}/tree")
+    found = sorted(os.path.basename(d) for d, _, names in os.walk(f"{folder}/tree") for _ in names)
+    assert found == ["doc_id=1", "doc_id=2", "doc_id=2", "doc_id=3"]

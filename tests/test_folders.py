@@ -218,3 +218,12 @@ def test_headers_equal_decoded_images(spark, folder):
     want = scan_images(spark, folder)
     assert sorted(map(tuple, got.where("file_path NOT LIKE '%gone%'").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert [r.ok for r in got.where("file_path LIKE '%gone%'").collect()] == [False]
+
+
+def test_a_text_without_direction_is_listed_and_indexed(spark, folder):
+    root, store = f"{folder}/files", IndexStore(spark, f"{folder}/index")
+    put(root, "a.txt", "Un.\n")  # its trigrams cancel
+    put(root, "b.txt", "plain words\n")
+    index_folders(store, [root])
+    assert state(store) == hashes(spark, root) and set(state(store)) == {"a.txt", "b.txt"}
+    assert tuple(index_folders(store, [root]).summary().head()) == (2, 0, 0, 0, 0)
