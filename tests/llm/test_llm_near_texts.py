@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -217,3 +218,16 @@ def test_groups_of_the_same_rows_name_the_same_pairs(n):
     for _ in range(3):
         linked |= {x for p in pairs if linked & set(p) for x in p}
     assert linked == set(range(n))
+
+
+def test_links_that_many_lists_name_reach_the_stars_as_forests(spark, monkeypatch):
+    """Every list of a group names pairs of its own: star rounds would meet the sum of all lists."""
+    rng = np.random.default_rng(5)
+    pairs = [(int(x), int(y)) for x in range(40) for y in rng.integers(40, 2000, 900)] + [(5000, 5001), (5001, 5003)]
+    edges = spark.createDataFrame(sorted(set(pairs)), "a long, b long")
+    met = []
+    real = near_texts.stars
+    monkeypatch.setattr(near_texts, "stars", lambda e: met.append(e.count()) or real(e))
+    got = {r.node: r.root for r in near_texts._components_of(edges, "links").collect()}
+    assert got == {n: 0 for pair in pairs[:-2] for n in pair if n} | {5001: 5000, 5003: 5000}
+    assert met[0] < 3000 < len(set(pairs)) / 8
