@@ -1,13 +1,17 @@
-"""Readers that open exactly the files of a table of paths: whole bodies, or the header of an image.
+"""Lists of files, and readers that open exactly the files of a table of paths: whole bodies, their
+hashes, or the header of an image.
 
-Spark's own binary source can leave out files by size and time but not by a long list of paths. Here
-the paths are rows, dealt to tasks by their bytes, and every task opens its own through Arrow's file
-systems (``file``, ``hdfs``, ``s3``, also written ``s3a``, and ``gs``).
+Spark's own binary source can leave out files by size and time but not by a long list of paths, and it
+lists all files in the driver. Here paths are rows, dealt to tasks by their bytes, and every task lists
+or opens its own through Arrow's file systems (``file``, ``hdfs``, ``s3``, also written ``s3a``, and ``gs``).
 """
 
 from __future__ import annotations
 
+import errno
+import hashlib
 import math
+import os
 import struct
 from collections.abc import Callable, Iterator
 
@@ -16,6 +20,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skimdex.session import work_dir
+
+#: schemes that tasks can list and open
+SCHEMES = ("file", "hdfs", "s3", "s3a", "gs")
+#: folders that a task lists, and entries in one batch
+TASK_FOLDERS, BATCH_ENTRIES = 10_000, 10_000
+#: bytes hashed at a time
+HASHED_BYTES = 8 * 1024 * 1024
 #: bytes of files that a task opens, and of bodies in one batch
 TASK_BYTES, BATCH_BYTES = 128 * 1024 * 1024, 32 * 1024 * 1024
 #: bytes read at a time while looking for the size of an image
@@ -52,6 +64,111 @@ def dealt(paths: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     return paths.repartition(max(1, min(row.n, max(cores, math.ceil((row.size or 0) / task_bytes)))))
 
 
+ENTRIES = pa.schema([("path", pa.string()), ("file_size", pa.int64()), ("modified_at", pa.int64()), ("folder", pa.bool_())])
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, size, second, whether a folder) of what a folder holds, links followed; dead links are left out."""
+    if "://" in folder:
+        where, at = _located(folder)
+        for info in where.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if info.type != fs.FileType.NotFound:
+                second = (info.mtime_ns or 0) // 10**9
+                yield info.base_name, info.size or 0, second, info.type == fs.FileType.Directory
+        return
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    if entry.is_dir():
+                        yield entry.name, 0, 0, True
+                        continue
+                    status = entry.stat()
+                except OSError as problem:
+                    if problem.errno not in (errno.ENOENT, errno.ELOOP):
+                        raise
+                    continue
+                yield entry.name, status.st_size, status.st_mtime_ns // 10**9, False
+    except FileNotFoundError:  # vanished since it was listed
+        return
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's file sources do not list, among them those that are no UTF-8."""
+    if not name.isprintable() and any("\ud800" <= c <= "\udfff" for c in name):
+        return True
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def list_tree(folders: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """(file_path, file_size, modified_at) of the files of these ``extensions`` under ``folders`` (path).
+
+    Tasks list the folders, one level after the other, and every level is written; the driver holds only
+    how many folders there are. As with Spark's file sources, empty files and names that start with ``_``
+    or ``.`` are not listed; a folder that cannot be read fails the listing.
+    """
+    spark, ends = folders.sparkSession, tuple(f".{e}" for e in extensions)
+    out, level = work_dir(spark, "entries"), 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for name, size, second, folder in _entries(path):
+                    if _hidden(name, folder) or not (folder or (size and name.lower().endswith(ends))):
+                        continue
+                    held.append((f"{path.rstrip('/')}/{name}", size, second, folder))
+                    if len(held) >= BATCH_ENTRIES:
+                        yield _entry_batch(held)
+                        held = []
+        if held:
+            yield _entry_batch(held)
+
+    while True:
+        n = folders.count()
+        parts = max(1, min(n, max(spark.sparkContext.defaultParallelism, math.ceil(n / TASK_FOLDERS))))
+        listed = folders.select("path").repartition(parts).mapInArrow(run, "path string, file_size long, modified_at long, folder boolean")
+        listed.write.parquet(f"{out}/level={level}")
+        folders = spark.read.parquet(f"{out}/level={level}").where("folder")
+        if folders.isEmpty():
+            break
+        level += 1
+    return spark.read.parquet(out).where("NOT folder").select(F.col("path").alias("file_path"), "file_size", "modified_at")
+
+
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ENTRIES)], schema=ENTRIES)
+
+
+def hash_files(paths: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``paths`` (file_path, file_size, modified_at) with ``file_hash``, the SHA-256 of the file, read piece by piece.
+
+    A file that has vanished is left out; one that cannot be read fails the scan.
+    """
+    names = ["file_path", "file_size", "modified_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = _Opener()
+        for batch in batches:
+            kept, hashes = [], []
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                digest = hashlib.sha256()
+                try:
+                    with opener(path) as source:
+                        while piece := source.read(HASHED_BYTES):
+                            digest.update(piece)
+                except FileNotFoundError:
+                    continue
+                kept.append(i)
+                hashes.append(digest.hexdigest())
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hashes, pa.string())], [*names, "file_hash"])
+
+    return dealt(paths.select(*names), task_bytes).mapInArrow(run, "file_path string, file_size long, modified_at long, file_hash string")
+
+
 def read_bodies(paths: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Every file of ``paths`` (file_path, file_size, modified_at) with its ``content``, opened once.
 

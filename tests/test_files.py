@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.inputs import _png
 from skimdex.functions import paths as P
 from skimdex.operators import media
-from skimdex.sources.files import load_files, read_text_docs, scan_files, scan_images
+from skimdex.sources.files import list_files, load_files, read_text_docs, scan_files, scan_images
 
 
 def write(root, name, data):
@@ -186,3 +186,43 @@ def test_a_repeated_task_leaves_the_same_files(spark, folder, monkeypatch):
         inputs.write_text_tree(spark, f"{folder}/{name}", f"{folder}/tree")
     found = sorted(os.path.basename(d) for d, _, names in os.walk(f"{folder}/tree") for _ in names)
     assert found == ["doc_id=1", "doc_id=2", "doc_id=2", "doc_id=3"]
+
+
+def test_tasks_list_the_same_files_as_spark(spark, folder):
+    names = ("a.txt", "sub dir/b.MD", "Ü%20d/c[1].jpg", "_x=1/d.txt", "deep/er/still/e.txt", "_hidden/f.txt", ".dot/g.txt")
+    for name in (*names, "_metadata/h.txt", "empty.txt", "x.pdf", "deep/.i.txt", "deep/_j.txt", "k.txt._COPYING_"):
+        write(f"{folder}/t", name, b"" if name == "empty.txt" else name.encode())
+    os.makedirs(f"{folder}/t/nothing")
+    write(folder, "aside/l.txt", b"linked")
+    os.symlink(f"{folder}/aside", f"{folder}/t/link")
+    os.symlink(f"{folder}/aside/l.txt", f"{folder}/t/m.txt")
+    os.symlink(f"{folder}/none", f"{folder}/t/dead.txt")
+    columns = ["file_path", "file_size", "modified_at"]
+    for roots in ([f"{folder}/t"], [f"file:{folder}/t/", f"{folder}/t/deep", f"{folder}/no"], [f"{folder}/t/de*"], [f"{folder}/t/a.txt"]):
+        want = sorted(set(map(tuple, load_files(spark, roots).select(*columns).collect())))
+        assert sorted(map(tuple, list_files(spark, roots).collect())) == want and want
+        assert sorted(map(tuple, scan_files(spark, roots).select(*columns).collect())) == want
+    before = list_files(spark, [f"{folder}/t"]).count()
+    open(os.path.join(os.fsencode(f"{folder}/t"), b"no-utf8-\xff.txt"), "wb").write(b"x")
+    assert before > 6 and list_files(spark, [f"{folder}/t"]).count() == before
+
+
+def test_the_driver_holds_no_list_of_files(spark, folder):
+    for i in range(300):
+        write(folder, f"t/{i % 30}/{i}.txt", b"x")
+    for found in (list_files(spark, [f"{folder}/t"]), scan_files(spark, [f"{folder}/t"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "binaryFile" not in plan and len(found.inputFiles()) < 100 and found.count() == 300
+
+
+def test_a_folder_that_cannot_be_read_fails_the_scan(spark, folder, monkeypatch):
+    from skimdex.sources import readers
+
+    def refused(path):
+        raise PermissionError(path)
+
+    with pytest.raises(PermissionError):
+        monkeypatch.setattr(readers.os, "scandir", refused)
+        list(readers._entries(folder))
+    monkeypatch.undo()
+    assert list(readers._entries(f"{folder}/gone")) == []
