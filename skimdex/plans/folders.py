@@ -11,13 +11,13 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skimdex.functions.paths import content_hash, file_type
+from skimdex.functions.paths import content_hash
 from skimdex.plans.jobs import IndexOptions, IndexRun, incremental_index_job
-from skimdex.sources.files import load_files
+from skimdex.sources.files import list_files
 from skimdex.sources.readers import TASK_BYTES, read_bodies
 from skimdex.sources.tables import IndexStore, IndexTable
 
@@ -40,12 +40,6 @@ def listing(store: IndexStore) -> IndexTable:
     return IndexTable(store.spark, f"{store.root}/listing", LISTING, "file_path")
 
 
-def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(file_path, file_size, modified_at) of the indexable files; none is opened."""
-    files = load_files(spark, folders).select("file_path", "file_size", "modified_at")
-    return files.where(file_type(F.col("file_path")).isNotNull())
-
-
 def split_listing(now: DataFrame, seen: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(unchanged files with their hash, files to open) of a listing.
 
