@@ -61,3 +61,9 @@ def test_few_rows_and_none(spark):
     assert len(graph.neighbor_graph(some, 5).collect()) == 6
     assert graph.neighbor_graph(some.limit(1), 5).collect() == []
     assert graph.neighbor_graph(some.where("false"), 5).collect() == []
+
+
+def test_the_start_of_a_large_table_holds_what_was_asked_for(spark):
+    """Hash tables go on until the lists hold enough, so that rounds over many rows are few or none."""
+    rows = frame(spark, np.random.default_rng(4).standard_normal((4500, 24)))
+    assert recall(rows, 8, rounds=0) >= 0.9
